@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltyard.llm import packing, quality, secrets, tokens
+from tiltyard.llm import mixing, packing, quality, secrets, sharding, tokens
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,6 +28,14 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "shuffle_key")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,8 +45,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op6_token_counts, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_pack, op4_shard, op5_mix, op6_token_counts, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mix": mixing.mix_sql()}
