@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltyard.llm import mixing, packing, quality, secrets, sharding, tokens
+from tiltyard.llm import mixing, neardup, packing, quality, secrets, sharding, tokens
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,6 +28,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -45,7 +49,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op4_shard, op5_mix, op6_token_counts, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_pack, op2_near_duplicates, op4_shard, op5_mix, op6_token_counts, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
