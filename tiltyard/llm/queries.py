@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltyard.llm import mixing, neardup, packing, quality, secrets, sharding, tokens
+from tiltyard.llm import hmm, mixing, neardup, packing, quality, secrets, sharding, tokens
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -44,12 +44,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_near_duplicates, op4_shard, op5_mix, op6_token_counts, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_pack, op2_near_duplicates, op4_shard, op5_mix, op6_token_counts, op8_hmm_score, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
