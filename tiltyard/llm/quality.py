@@ -20,23 +20,25 @@ _SYMBOL, _UPPER, _DIGIT, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"#
 _WINDOW = numbered(8, 2)
 
 
-def repeated_words(part: Chunk, hashes: np.ndarray) -> np.ndarray:
-    """The words of each text that lie in a window of 8 words found twice or more in it."""
+def repeated_in(part: Chunk, hashes: np.ndarray) -> np.ndarray:
+    """Which words lie in a window of 8 words found twice or more in their text."""
     at = part.windows(8)
-    if not len(at):
-        return np.zeros(part.n, np.int64)
     key = mix(part.doc[at].astype(np.uint64) + np.uint64(1))
     for k in range(8):
         key += hashes[at + k] * _WINDOW[k]
     ordered = np.sort(key)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
-        return np.zeros(part.n, np.int64)
+        return np.zeros(len(hashes), bool)
     at = at[np.isin(key, np.unique(twice))]
     change = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + 8, -1)
-    return np.bincount(part.doc, weights=np.cumsum(change[:-1]) > 0, minlength=part.n).astype(np.int64)
+    return np.cumsum(change[:-1]) > 0
+
+
+def repeated_words(part: Chunk, hashes: np.ndarray) -> np.ndarray:
+    return np.bincount(part.doc, weights=repeated_in(part, hashes), minlength=part.n).astype(np.int64)
 
 
 def echoes(part: Chunk, hashes: np.ndarray) -> np.ndarray:
