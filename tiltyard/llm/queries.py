@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltyard.llm import classifier, hmm, mixing, neardup, packing, quality, secrets, sharding, tokens
+from tiltyard.llm import classifier, hmm, hnsw, mixing, neardup, packing, quality, secrets, sharding, tokens
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,6 +48,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_near_duplicates, op3_quality_score, op4_shard, op5_mix, op6_token_counts, op8_hmm_score, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_pack, op2_near_duplicates, op3_quality_score, op4_shard, op5_mix, op6_token_counts, op7_near_vectors, op8_hmm_score, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
