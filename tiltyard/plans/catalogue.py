@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tiltyard.plans import tables
+from tiltyard.plans import reports, tables
 from tiltyard.plans.tables import best_decks
 
-QUERIES = {**tables.QUERIES}
-ORACLE = {**tables.ORACLE}
+QUERIES = {**tables.QUERIES, **reports.QUERIES}
+ORACLE = {**tables.ORACLE, **reports.ORACLE}
 
 __all__ = ["ORACLE", "QUERIES", "best_decks"]
