@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiltyard.functions.decks import deck_key, evolution, hero, parsed_role
 from tiltyard.functions.segments import LEAGUES, TOP_RANKS, TROPHIES, segment
@@ -53,7 +54,7 @@ def first_positive(value, names: set[str]) -> int | None:
     return None
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def buried_league(raw: pd.Series) -> pd.Series:
     """A league anywhere in the payload, for the rows that have none where it is expected."""
 

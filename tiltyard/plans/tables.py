@@ -70,7 +70,7 @@ def top_seeds(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", seen.alias("seen")).orderBy(F.desc_nulls_last("seen"), "c_custkey").limit(50)
 
 
-@register("replace_and_except", "select * replace (upper(o_orderpriority) as o_orderpriority) exclude (o_custkey) from orders where o_orderstatus in ('F', 'P')")
+@register("replace_and_except", "select * exclude (o_custkey) replace (upper(o_orderpriority) as o_orderpriority) from orders where o_orderstatus in ('F', 'P')")
 def replace_and_except(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderstatus").isin("F", "P")).withColumn("o_orderpriority", F.upper("o_orderpriority")).drop("o_custkey")
 
