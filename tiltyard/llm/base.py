@@ -55,25 +55,56 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every vertex to the least one that these edges connect it with."""
+    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    low = np.arange(len(names))
+    while len(a):
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, low[a], least)
+        np.minimum.at(new, low[b], least)
+        while (new != new[new]).any():
+            new = new[new]
+        apart = new[a] != new[b]
+        a, b, low = a[apart], b[apart], new
+    moved = np.flatnonzero(low != np.arange(len(names)))
+    return names[moved], names[low[moved]]
+
+
+def _contracted(edges: DataFrame, final: bool) -> DataFrame:
+    """Each partition's edges (u, v) as stars; ``own`` tells whether u came as an edge's greater end."""
+
+    def run(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if got:
+            u, v = (np.concatenate(x) for x in zip(*got))
+            a, b = local_stars(u, v)
+            own = np.isin(a, u) if final else np.ones(len(a), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(own)], ["u", "v", "own"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long, own boolean")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, root), root the smallest id reachable.
 
-    Large-star and small-star steps by minima and joins alone, so that a hub with any number of links is
-    never one task's list; each round is written to the shared folder. Vertices without edges have no row.
+    A round contracts each partition's edges to stars, before and after they are dealt by their greater end,
+    and then replaces an edge's lesser end by that one's own root, with a join. A vertex with any number of
+    links so is nowhere one task's list. It ends when each vertex has one edge, to a vertex that has none.
+    Rounds are written to the shared folder. Vertices without edges have no row.
     """
-    pair = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    stats = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("h"))
-    pair, now = materialize(pair, *stats)
-    before = None
-    while now["n"] and now != before:
-        both = pair.union(pair.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        by = least.withColumnRenamed("u", "k")
-        rest = large.join(by, large.u == by.k).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pair, now, before = *materialize(rest.union(least).distinct(), *stats), now
-    return pair.select(F.col("u").alias("id"), F.col("v").alias("root")).union(pair.select("v", "v").distinct())
+    rest = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    while True:
+        stars = _contracted(_contracted(rest, False).repartition("u"), True)
+        stars, seen = materialize(stars, F.count(F.when(~F.col("own"), 1)).alias("foreign"))
+        up = stars.select(F.col("u").alias("p_u"), F.col("v").alias("p_v"))
+        jumped = stars.join(up, stars["v"] == up["p_u"], "left").select("u", F.coalesce("p_v", "v").alias("v"), F.col("p_v").isNotNull().alias("moved"))
+        rest, then = materialize(jumped, F.count(F.when(F.col("moved"), 1)).alias("moved"))
+        if not seen["foreign"] and not then["moved"]:
+            break
+    return rest.select(F.col("u").alias("id"), F.col("v").alias("root")).union(rest.select("v", "v").distinct())
 
 
 # Text in Arrow batches -------------------------------------------------------------------------------
