@@ -105,7 +105,7 @@ BENCH_SQL = f"{P_SQL}, k as (select *, {KEY_SQL} matchup_key from p), m as (sele
 ) + f"), a as (select model, count(*) as rows, {LOSSES} from l group by 1), r as (select model, {AUC} from (select *, rank() over (partition by model order by probability) + (count(*) over (partition by model, probability) - 1) / 2.0::double r from l) group by 1), f as (select model, avg(({Q} - {Y}) * ({Q} - {Y})) sb, avg(rate * (1 - rate)) ib from l where rate is not null group by 1)"
 
 
-@register("benchmark_report", f"{BENCH_SQL} select a.*, r.auc, round(sb, 6) supported_brier, round(ib, 6) irreducible_brier, round(sb - ib, 6) gap_to_floor, round(case when (select sb from f where model = 'prior') - ib > 0 then ((select sb from f where model = 'prior') - sb) / ((select sb from f where model = 'prior') - ib) end, 6) headroom_captured from a join r using (model) join f using (model)")
+@register("benchmark_report", f"{BENCH_SQL} select a.*, r.auc, round(sb, 6) supported_brier, round(ib, 6) irreducible_brier, round(sb - ib, 6) gap_to_floor, round(case when (select sb from f where model = 'prior') - ib > 0 then ((select sb from f where model = 'prior') - sb) / ((select sb from f where model = 'prior') - ib) end, 6) headroom_captured from a join r using (model) left join f using (model)")
 def benchmark_report(spark, sf_dir):
     p = predicted(spark, sf_dir).withColumn("matchup_key", matchup_key(F.col("team_deck_key"), F.col("opponent_deck_key")))
     p = p.withColumns({"prior": F.lit(0.5) + (F.col("probability") - 0.5) / 4, "model": F.col("probability"), "constant": F.lit(0.5)})
