@@ -12,7 +12,7 @@ from tiltyard.plans import catalogue
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.5f}"
+        return "nan" if math.isnan(v) else f"{v + 0.0:.5f}".replace("-0.00000", "0.00000")
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(plain(x) for x in v) + "]"
     if isinstance(v, datetime.datetime):
