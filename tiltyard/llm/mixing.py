@@ -54,12 +54,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     gives none.
     """
     docs = docs.drop(copy, key)
-    own = {n: f"{n}_{uuid.uuid4().hex}" for n in ("source", "parts", "cdf", "n")}
+    own = {n: f"{n}_{uuid.uuid4().hex}" for n in ("source", "parts", "cdf", "u", "n")}
     rate = rates(docs.select("source", "text"), weights, temperature, epochs).select(*[F.col(n).alias(own[n]) for n in ("source", "parts", "cdf")])
     id_ = F.col("doc_id")
-    draw = lambda j: F.size(F.filter(F.col(own["cdf"]), lambda c: c <= uniform(seed, id_, j)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col(own["parts"])), F.lit(0), lambda acc, j: acc + draw(j))
-    out = docs.join(rate, docs["source"].eqNullSafe(rate[own["source"]])).withColumn(own["n"], count).where(F.col(own["n"]) > 0)
+    draws = F.transform(F.sequence(F.lit(1), F.col(own["parts"])), lambda j: uniform(seed, id_, j))
+    count = F.aggregate(own["u"], F.lit(0), lambda acc, u: acc + F.size(F.filter(own["cdf"], lambda c: c <= u)))
+    out = docs.join(rate, docs["source"].eqNullSafe(rate[own["source"]])).withColumn(own["u"], draws)
+    out = out.withColumn(own["n"], count).where(F.col(own["n"]) > 0)
     out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own["n"])))).drop(*own.values())
     said = F.concat_ws(":", F.lit(seed), F.coalesce(id_.cast("string"), F.lit("null")), F.col(copy).cast("string"))
     out = out.withColumn(key, F.md5(said.cast("binary")))
