@@ -252,14 +252,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(banded.join(buckets, "key").select("key", "id", "hub", "n"))
     stars = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(close_pairs(stars, sketches))
+    close = materialize(close_pairs(stars, sketches))
+    # Known to be connected: a class, its least close hub, and that one's.
+    up = close.groupBy("a").agg(F.min("b").alias("m"))
+    above = up.select(F.col("a").alias("u_a"), F.col("m").alias("u_m"))
+    groups = up.join(above, F.col("m") == F.col("u_a"), "left").select(F.col("a").alias("id"), F.coalesce("u_m", "m").alias("root"))
 
     apart = rooted(members.select("key", "id", "n"), groups)
     open_ = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("o_key"))
     apart = apart.join(open_, apart["key"] == open_["o_key"], "left_semi").join(sketches, "id")
     more = by_task(in_blocks(apart, "key", "n", 4 * BLOCK), ["key", "i", "j"], candidate_links, "a long, b long")
-    stars = groups.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    groups = components(stars.union(materialize(more)))
+    groups = components(close.union(more))
 
     sized = groups.join(groups.groupBy(F.col("root").alias("group")).agg(F.count(F.lit(1)).alias("n")), F.col("root") == F.col("group")).select("id", "group", "n")
     sized = materialize(sized)
