@@ -16,6 +16,7 @@ STATES = 8
 #: Words with a count of their own in every task, and those of them with emissions of their own: the most
 #: frequent, at most so many. All other words' counts are joined.
 NEAR, EMITTED = 1 << 18, 1 << 15
+LEAST_OWN = 2  # rarer words go with the rest, which so is learned from words like those never seen
 SEEDS = 256  # the most frequent words, whose company in documents starts the states
 ROUNDS = 3
 SEGMENT = 256  # Baum-Welch reads texts in runs of so many tokens
@@ -86,7 +87,7 @@ def vocabulary(counts: DataFrame, tokens: int, types: int, ends: int, near: int
     got = counts.where(F.col("n") >= least).toPandas()
     got = got.sort_values(["n", "hash"], ascending=[False, True])
     hashes, n = got["hash"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
-    own = min(emitted, len(n))
+    own = min(emitted, int((n >= LEAST_OWN).sum()))
     symbol = np.where(np.arange(len(n)) < own, np.arange(len(n)), own)
     order = np.argsort(hashes)
     return Vocabulary(hashes[order], n[order], symbol[order].astype(np.int32), n[:own], tokens + ends, types + (ends > 0), ends)

@@ -14,7 +14,7 @@ LINKS = 16  # of a node in an upper layer; twice as many in the lowest
 BEAM = 32  # entries of a search's beam to begin with
 SHARD_ROWS = 1 << 17  # more vectors make more shards, so that one always fits a task
 LEAST_SHARDS = 6
-AUDITED, RECALL = 256, 0.99  # queries of each task held against brute force, and what they must find
+AUDITED, RECALL = 256, 1.0  # queries of each task held against brute force, and what they must find
 
 
 def beam_search(x: np.ndarray, near: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, each: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +147,32 @@ class Graph:
         for level in range(len(sizes) - 1, -1, -1):
             near = layer(self.x[: sizes[level]], LINKS if level else 2 * LINKS, self._entries)
             self.layers.append(near)
+        self._reach_all()
+
+    def _reach_all(self) -> None:
+        """Pruning may leave nodes of the lowest layer without a way to them: each such island gets a link from
+        the nearest node that can be reached."""
+        near, n = self.layers[-1], len(self.x)
+        while True:
+            seen = np.zeros(n, bool)
+            front = np.zeros(1, np.int64)
+            while len(front):
+                seen[front] = True
+                to = np.unique(near[front])
+                to = to[to >= 0]
+                front = to[~seen[to]]
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                break
+            inside = np.unique(near[lost])
+            heads = np.setdiff1d(lost, inside) if len(np.setdiff1d(lost, inside)) else lost[:1]
+            known = np.flatnonzero(seen)
+            extra = np.full((n, 1), -1, np.int32)
+            for part in np.array_split(heads, -(-len(heads) // 256)):
+                at = known[(self.x[part] @ self.x[known].T).argmax(axis=1)] if len(known) * len(part) < 1 << 25 else beam_search(self.x, near, self.x[part], self.enter(self.x[part], -1), BEAM)[0][:, 0]
+                extra[at, 0] = part  # of several for one node the last; the others' turn comes next
+            near = np.concatenate([near, extra], axis=1)
+        self.layers[-1] = near
 
     def _entries(self, queries: np.ndarray, below: int) -> np.ndarray:
         """Where to enter the layer that is being made, of whose nodes the first ``below`` are linked."""
