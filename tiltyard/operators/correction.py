@@ -80,12 +80,17 @@ def weighted_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray, bias: bool =
     return float(np.clip(t, 0.05, 10)), float(np.clip(b, -5, 5))
 
 
-def calibrated(df: DataFrame, lines: DataFrame, by: str = "segment", score: str = "logit") -> DataFrame:
-    """With ``probability``: a segment's own line if there is one, else that of all rows."""
+def with_lines(df: DataFrame, lines: DataFrame, by: str = "segment") -> DataFrame:
+    """With ``temperature`` and ``bias``, a segment's own or else those of all rows, and the latter's temperature."""
     own = lines.where(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.col("temperature").alias("_t"), F.col("bias").alias("_b"))
-    every = lines.where(F.col(by).isNull()).agg(F.coalesce(F.max("temperature"), F.lit(1.0)).alias("_gt"), F.coalesce(F.max("bias"), F.lit(0.0)).alias("_gb"))
+    every = lines.where(F.col(by).isNull()).agg(F.coalesce(F.max("temperature"), F.lit(1.0)).alias("global_temperature"), F.coalesce(F.max("bias"), F.lit(0.0)).alias("_gb"))
     out = df.join(F.broadcast(own), F.col(by) == F.col("_by"), "left").crossJoin(F.broadcast(every))
-    return out.withColumn("probability", sigmoid(F.col(score) / F.coalesce("_t", "_gt") + F.coalesce("_b", "_gb"))).drop("_by", "_t", "_b", "_gt", "_gb")
+    return out.withColumns({"temperature": F.coalesce("_t", "global_temperature"), "bias": F.coalesce("_b", "_gb")}).drop("_by", "_t", "_b", "_gb")
+
+
+def calibrated(df: DataFrame, lines: DataFrame, by: str = "segment", score: str = "logit") -> DataFrame:
+    """With ``probability``: the score through its segment's line."""
+    return with_lines(df, lines, by).withColumn("probability", sigmoid(F.col(score) / F.col("temperature") + F.col("bias"))).drop("temperature", "bias", "global_temperature")
 
 
 def interactions(scored: DataFrame, by: list[str], hero: str = "hero", evo: str = "evo", value: str = "probability") -> DataFrame:

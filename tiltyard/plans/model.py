@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltyard.functions import labels
-from tiltyard.operators.correction import calibrated, fit_calibrations, hero_adjustment, logit, projected, sigmoid
+from tiltyard.operators.correction import fit_calibrations, hero_adjustment, logit, projected, projection_error, sigmoid, with_lines
 from tiltyard.sources.battles import swapped
 
 
@@ -43,20 +44,42 @@ class Model:
         return battles.withColumn("logit", F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v))
 
     def probabilities(self, battles: DataFrame) -> DataFrame:
-        """With the probability from both sides, projected, corrected and labelled."""
-        forward, reverse = self._one_side(battles, "forward"), self._one_side(swapped(battles), "reverse")
-        back = reverse.select(F.col("game_id").alias("_id"), "reverse")
-        out = forward.join(back, F.col("game_id") == F.col("_id")).drop("_id")
-        p = projected(F.col("forward"), F.col("reverse"))
-        if self.coefficients and "team_evolution_levels" in battles.columns:
-            p = sigmoid(logit(p) + hero_adjustment(self.coefficients, self.shrinkage))
+        """With the probability from both sides, projected, corrected and labelled.
+
+        The other side's logit is this one's with its sign turned, so both sides come from one pass over the
+        rows: nothing is shuffled and the few calibrations are broadcast.
+        """
+        out = self.score(battles)
+        out = with_lines(out, self.lines) if self.lines is not None else out.withColumns({"temperature": F.lit(1.0), "bias": F.lit(0.0), "global_temperature": F.lit(1.0)})
+        x, t, b = F.col("logit"), F.greatest("temperature", F.lit(1e-4)), F.col("bias")
+        out = out.withColumns({"raw": sigmoid(x), "raw_reverse": sigmoid(-x), "forward": sigmoid(x / t + b), "reverse": sigmoid(-x / t + b)})
+        out = out.withColumns({"pre_correction": projected(F.col("forward"), F.col("reverse")), "calibration_symmetry_error": projection_error(F.col("forward"), F.col("reverse"))})
+        correct = bool(self.coefficients) and "team_evolution_levels" in battles.columns
+        out = out.withColumn("adjustment", hero_adjustment(self.coefficients, self.shrinkage) if correct else F.lit(0.0))
+        p = F.when(F.col("adjustment") == 0, F.col("pre_correction")).otherwise(sigmoid(logit(F.col("pre_correction"), 1e-7) + F.col("adjustment")))
         out = out.withColumn("probability", p)
         return out.withColumns({"label": labels.five(F.col("probability")), "served_label": labels.served(F.col("probability")), "confidence": labels.confidence(F.col("probability"))})
 
-    def _one_side(self, battles: DataFrame, name: str) -> DataFrame:
-        scored = self.score(battles)
-        scored = calibrated(scored, self.lines) if self.lines is not None else scored.withColumn("probability", sigmoid(F.col("logit")))
-        return scored.withColumnRenamed("probability", name)
+    def records(self, battles: DataFrame) -> DataFrame:
+        """One prediction record of seventeen fields a battle, beside its id."""
+        out = self.probabilities(battles)
+        p, error = F.col("probability"), lambda a, b: F.abs(F.col(a) + F.col(b) - 1)
+        return out.select(
+            "game_id", p.alias("team_win_probability"), (1 - p).alias("opponent_win_probability"), F.col("pre_correction").alias("pre_correction_team_win_probability"),
+            F.col("adjustment").alias("hero_evo_logit_adjustment"), F.col("forward").alias("pre_projection_team_win_probability"), F.col("reverse").alias("pre_projection_opponent_win_probability"),
+            F.col("raw").alias("raw_team_win_probability"), F.col("raw_reverse").alias("raw_opponent_win_probability"), F.col("label").alias("matchup_label"),
+            F.lit(0.0).alias("symmetry_error"), "calibration_symmetry_error", error("raw", "raw_reverse").alias("raw_symmetry_error"), "segment", "patch", "temperature", "bias", "global_temperature",
+        )
+
+    def to_json(self) -> str:
+        rows = [r.asDict() for r in self.lines.collect()] if self.lines is not None else None  # a line a segment
+        return json.dumps({"cards": self.cards, "pairs": self.pairs, "weights": self.weights.tolist(), "prior": self.prior, "lines": rows, "coefficients": {str(k): v for k, v in self.coefficients.items()}, "shrinkage": self.shrinkage})
+
+    @classmethod
+    def from_json(cls, spark: SparkSession, text: str) -> Model:
+        d = json.loads(text)
+        lines = spark.createDataFrame([tuple(r[c] for c in ("segment", "temperature", "bias", "rows")) for r in d["lines"]], "segment string, temperature double, bias double, rows bigint") if d["lines"] is not None else None
+        return cls(d["cards"], [tuple(p) for p in d["pairs"]], np.array(d["weights"]), d["prior"], lines, {int(k): v for k, v in d["coefficients"].items()}, d["shrinkage"])
 
     def attributions(self, battles: DataFrame, top: int = 3) -> DataFrame:
         """What each pair adds to a battle's logit, (game_id, kind, a, b, delta): the largest few for the team
