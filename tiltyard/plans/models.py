@@ -10,11 +10,11 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltyard.functions import cards, payload
-from tiltyard.operators import correction, metrics
-from tiltyard.plans import model, search
+from tiltyard.functions import cards, labels, payload
+from tiltyard.operators import composition, correction, deck_stats, discriminator, metrics, neighbours, prepare
+from tiltyard.plans import encode, model, reports, search
 from tiltyard.plans.reports import DECKS_SQL, SEG_DECKS_SQL, catalogue_of, segment_decks
-from tiltyard.plans.tables import BANDS, BASE, rounded, split_battles
+from tiltyard.plans.tables import BANDS, BASE, SPLIT_SQL, rounded, split_battles
 from tiltyard.sources.battles import derived_battles, swapped
 from tiltyard.streaming import collect
 
@@ -85,9 +85,7 @@ ELIXIR_SQL = "values " + ", ".join(f"({k}, {v})" for k, v in sorted(cards.ELIXIR
 
 @register("deck_elixir", f"{DECKS_SQL}, el as (select col0 card, col1 elixir from ({ELIXIR_SQL}) t(col0, col1)), u as (select deck_key, 26000000 + unnest(cards) * 13 card from decks) select deck_key, cast(sum(coalesce(elixir, 0)) as bigint) elixir, round(avg(elixir), 6) average, count(*) filter (elixir is null) unknown_cards from u left join el using (card) group by 1")
 def deck_elixir(spark, sf_dir):
-    from tiltyard.plans.reports import decks_of
-
-    each = decks_of(spark, sf_dir).select("deck_key", F.explode("cards").alias("c")).withColumn("cost", cards.elixir(F.lit(26000000) + F.col("c") * 13))
+    each = reports.decks_of(spark, sf_dir).select("deck_key", F.explode("cards").alias("c")).withColumn("cost", cards.elixir(F.lit(26000000) + F.col("c") * 13))
     known = F.when(F.col("cost") > 0, F.col("cost"))
     return rounded(each.groupBy("deck_key").agg(F.sum("cost").alias("elixir"), F.avg(known).alias("average"), F.count_if(known.isNull()).alias("unknown_cards")), "average")
 
@@ -262,3 +260,116 @@ def incremental_ids(spark, sf_dir):
     for _ in range(2):
         collect.drain(event_stream(spark, sf_dir).where("event_id % 2 = 0").select("event_id"), f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema("event_id bigint").parquet(f"{path}/out")
+
+
+# Encoding, discriminators, envelopes, seeds -----------------------------------------------------------
+
+VOCAB_SQL = f"{BASE}, {SPLIT_SQL}, vc as (select card, row_number() over (order by card) i from (select distinct unnest(list_concat(team_card_ids, opponent_card_ids)) card from split where split = 'train')), vp as (select patch, row_number() over (order by patch) i from (select distinct patch from split where split = 'train')), vs as (select segment, row_number() over (order by segment) i from (select distinct segment from split where split = 'train'))"
+
+
+@register("encoded_rows", f"{VOCAB_SQL}, mp as (select map(list(card order by card), list(i order by card)) m from vc) select game_id, list_concat(list_transform(team_card_ids, lambda c: cast(coalesce(m[c], 0) as int)), [0, 0, 0, 0, 0, 0])[1:6] team_cards, list_concat(list_transform(team_card_ids, lambda c: cast((game_id + c) % 2 as int)), [0, 0, 0, 0, 0, 0])[1:6] team_evolution, list_concat(list_transform(team_card_ids, lambda c: case when (game_id + c) % 4 >= 2 then 3 else 1 end), [0, 0, 0, 0, 0, 0])[1:6] team_role, cast(coalesce(vs.i, 0) as int) segment, cast(coalesce(vp.i, 0) as int) patch from split left join vs using (segment) left join vp using (patch), mp where split = 'test'")
+def encoded_rows(spark, sf_dir):
+    b = split_battles(spark, sf_dir)
+    for side in ("team", "opponent"):
+        b = b.withColumns({
+            f"{side}_evolution_levels": F.transform(f"{side}_card_ids", lambda c: ((F.col("game_id") + c) % 4).cast("int")), f"{side}_hero_levels": F.transform(f"{side}_card_ids", lambda c: F.lit(0)),
+            f"{side}_card_roles": F.transform(f"{side}_card_ids", lambda c: F.lit(1)), f"{side}_tower_troop_id": F.lit(159000000).cast("bigint"),
+        })
+    b = b.withColumn("matrix_prior", F.lit(0.5)).cache()
+    v = encode.Vocabularies.of(b.where("split = 'train'"))
+    return encode.encode(b.where("split = 'test'"), v, 6).select("game_id", "team_cards", "team_evolution", "team_role", "segment", "patch")
+
+
+@register("prediction_records")
+def prediction_records(spark, sf_dir):
+    m, test = fitted(spark, sf_dir)
+    return m.records(test)
+
+
+PROFILE = ("hits_air", "air_unit", "elixir_mean", "elixir_std", "role:anti-air", "kind:spell")
+
+
+def two_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of often-played decks (0) and of seldom-played ones (1)."""
+    d = reports.decks_of(spark, sf_dir)
+    f = composition.profile(d, catalogue_of(spark, sf_dir), reports.PROFILE_ROLES, reports.PROFILE_KINDS, ("deck_key", "plays"))
+    return f.withColumn("emitted", (F.col("plays") < 8).cast("int"))
+
+
+@register("deck_discriminator")
+def deck_discriminator(spark, sf_dir):
+    return discriminator.out_of_fold(two_populations(spark, sf_dir), PROFILE, "emitted", "deck_key")
+
+
+@register("matched_controls")
+def matched_controls(spark, sf_dir):
+    few = {"open": ("true", ()), "matched plays": ("plays between 8 and 30", ()), "without elixir": ("true", ("elixir_mean", "elixir_std")), "without roles": ("true", ("role:anti-air",))}
+    return discriminator.controls(two_populations(spark, sf_dir), PROFILE, "emitted", "deck_key", few, 3)
+
+
+@register("operating_point")
+def operating_point(spark, sf_dir):
+    df = two_populations(spark, sf_dir).cache()
+    ends = discriminator.standard(df, PROFILE, "emitted")
+    weights, intercept = discriminator.raw_weights(discriminator.fit(discriminator.rows_of(df, PROFILE, "emitted", ends, "deck_key"), 0.25), PROFILE, ends)
+    return discriminator.operating_point(df, discriminator.linear(weights, intercept), "emitted", 0.05)
+
+
+@register("distribution_signals")
+def distribution_signals(spark, sf_dir):
+    scored = reports.panel_scored(spark, sf_dir).select("segment", "deck_key", "unfavorable_share", "matchup_sigma")
+    c = reports.candidates(spark, sf_dir).withColumn("rate", (F.col("score") + 0.5) / 2)
+    return discriminator.signals(c.join(scored, ["segment", "deck_key"]), ["unfavorable_share", "matchup_sigma"], "score", "rate", "quality", ["segment", "deck_key"], 200)
+
+
+ENVELOPE = (0.05, 0.5, 0.95, 0.99)
+
+
+@register("envelope_body", f"{reports.PANEL_SQL} select segment, count(*) decks, " + ", ".join(f"round(quantile_cont(score, {s}), 6) {deck_stats.name(s)}" for s in ENVELOPE) + ", round(avg(score), 6) mean, round(stddev_pop(score), 6) std, round(max(score), 6) ceiling, round(min(worst_matchup), 6) worst from ps group by 1")
+def envelope_body(spark, sf_dir):
+    s = reports.panel_scored(spark, sf_dir)
+    body = deck_stats.linear_percentiles(s, "score", ENVELOPE, ["segment"])
+    ends = s.groupBy(F.col("segment").alias("_s")).agg(F.count(F.lit(1)).alias("decks"), F.max("score").alias("ceiling"), F.min("worst_matchup").alias("worst"))
+    out = body.join(ends, F.col("segment") == F.col("_s")).drop("_s")
+    return rounded(out, *[deck_stats.name(x) for x in ENVELOPE], "mean", "std", "ceiling", "worst")
+
+
+@register("ceiling_leaders", f"{reports.PANEL_SQL}, f as (select *, row_number() over (partition by segment order by score desc, deck_key) r from ps) select segment, deck_key, round(score - worst_matchup, 6) score from f where r <= 5")
+def ceiling_leaders(spark, sf_dir):
+    """Decks that do best on the cheap score, and only they on the full one."""
+    s = reports.panel_scored(spark, sf_dir)
+    base = s.select("segment", "deck_key", F.col("score").alias("s"), "worst_matchup")
+    out = search.leaders(base, lambda d: d.withColumn("score", F.col("s")), lambda d: d.withColumn("score", F.col("s") - F.col("worst_matchup")), "segment", 5)
+    return rounded(out.select("segment", "deck_key", "score"), "score")
+
+
+@register("random_matchups", f"{DECKS_SQL}, nd as (select deck_key, len(cards) n, row_number() over (order by deck_key) - 1 i, count(*) over () c from decks), pr as (select r, cast(('0x' || substr(md5('a' || r), 1, 12)) as bigint) a, cast(('0x' || substr(md5('b' || r), 1, 12)) as bigint) b from range(400) t(r)), m as (select 0.5::double + 0.02::double * (x.n - y.n) p from pr join nd x on x.i = pr.a % x.c join nd y on y.i = pr.b % y.c) select case when p >= 0.55 then 'good' when p <= 0.45 then 'bad' else 'neutral' end label, count(*) n from m group by 1")
+def random_matchups(spark, sf_dir):
+    """The share of classes over hashed pairs of decks."""
+    d = metrics.ranked(reports.decks_of(spark, sf_dir).select(F.lit(0.0).alias("cell_of"), "deck_key", F.size("cards").alias("k")), ["cell_of", "deck_key"]).withColumn("i", F.col("rank") - 1)
+    n = d.count()
+    draw = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("bigint") % n
+    pairs = spark.range(400).select(draw("a").alias("a"), draw("b").alias("b"))
+    x, y = (d.select(F.col("i").alias(f"i{s}"), F.col("k").alias(f"k{s}")) for s in "xy")
+    met = pairs.join(x, F.col("a") == F.col("ix")).join(y, F.col("b") == F.col("iy"))
+    return met.groupBy(labels.served(F.lit(0.5) + F.lit(0.02) * (F.col("kx") - F.col("ky"))).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("balanced_seeds", "select c_custkey, c_mktsegment from (select *, row_number() over (partition by c_mktsegment order by md5(c_custkey::varchar), c_custkey) r from customer where c_custkey % 10 <> 0) where r <= 20")
+def balanced_seeds(spark, sf_dir):
+    """A quota of players of each band, without those that a crawl begins from."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    begun = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("b"))
+    return neighbours.strata(c.join(begun, F.col("c_custkey") == F.col("b"), "left_anti"), "c_mktsegment", "c_custkey", 20).select("c_custkey", "c_mktsegment")
+
+
+@register("ensemble_split_selection", f"{reports.CAND_SQL}, mb as (select segment, deck_key, m.m, score + 0.01::double * ((train_n * (m.m + 3)) % 7) s from ca, (select unnest([0, 1, 2]) m) m), wn as (select * from (select *, row_number() over (partition by segment, m order by s desc, deck_key desc) r from mb) where r = 1), ob as (select w.segment, w.m, w.s promised, avg(o.s) observed from wn w join mb o on o.segment = w.segment and o.deck_key = w.deck_key and o.m <> w.m group by all) select m \"member\", count(*) pools, round(avg(promised), 6) promised, round(avg(observed), 6) observed from ob group by 1")
+def ensemble_split_selection(spark, sf_dir):
+    c = reports.candidates(spark, sf_dir).withColumn("m", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    c = c.withColumn("s", F.col("score") + F.lit(0.01) * ((F.col("train_n") * (F.col("m") + 3)) % 7))
+    return rounded(discriminator.split_selection(c, "segment", "deck_key", "m", "s"), "promised", "observed")
+
+
+@register("even_files")
+def even_files(spark, sf_dir):
+    return prepare.evened(spark.read.parquet(f"{sf_dir}/orders.parquet"), 12).groupBy(F.spark_partition_id().alias("file")).agg(F.count(F.lit(1)).alias("n"))
