@@ -126,10 +126,12 @@ def parse_battles(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     names = set(rows.columns)
     given = lambda n, kind: (F.col(n) if n in names else F.lit(None)).cast(kind)
+    # Exploded from an array of one, so that it is parsed once: filters and projections don't take the call along.
     b = F.from_json("raw", PAYLOAD)
+    rows = rows.withColumn("b", F.explode(F.array(b)))
     base = rows.select(
-        "raw", b.alias("b"), given("fingerprint", "string").alias("source_fingerprint"), F.coalesce(given("mode_key", "string"), F.lit("other")).alias("mode_key"),
-        F.coalesce(given("battle_time", "timestamp"), battle_time(b["battleTime"])).alias("battle_time"), given("inserted_at", "timestamp").alias("inserted_at"), given("league_number", "int").alias("sql_league"),
+        "raw", "b", given("fingerprint", "string").alias("source_fingerprint"), F.coalesce(given("mode_key", "string"), F.lit("other")).alias("mode_key"),
+        F.coalesce(given("battle_time", "timestamp"), battle_time(F.col("b.battleTime"))).alias("battle_time"), given("inserted_at", "timestamp").alias("inserted_at"), given("league_number", "int").alias("sql_league"),
     )
     team, other = F.get("b.team", 0), F.get("b.opponent", 0)
     ok = (F.size("b.team") == 1) & (F.size("b.opponent") == 1) & F.col("battle_time").isNotNull()
