@@ -164,7 +164,7 @@ def beam_search(spark, sf_dir):
     rate = sides(b).select("won", F.explode("cards").alias("c")).groupBy("c").agg(F.avg(F.col("won").cast("int")).alias("rate"))
     table = F.create_map(*[F.lit(v) for r in rate.collect() for v in (r["c"], r["rate"])])  # ten cards
     score = lambda d: d.withColumn("score", F.round(F.aggregate("cards", F.lit(0.0), lambda a, c: a + F.element_at(table, c)) / F.size("cards"), 9))
-    start = segment_decks(spark, sf_dir).where(F.size("cards") == 5).select("cards").distinct().orderBy(F.concat_ws(",", F.col("cards").cast("array<string>"))).limit(4)
+    start = segment_decks(spark, sf_dir).where(F.size("cards") == 5).select("cards").distinct()
     return search.beam(start, spark.createDataFrame([(i,) for i in range(10)], "card int"), score, 4, 12, F.size(F.array_intersect("cards", F.array(F.lit(0), F.lit(4)))) <= 1)
 
 
@@ -253,12 +253,12 @@ def frontier_quota(spark, sf_dir):
     return collect.next_players(e, 100)
 
 
-@register("incremental_ids", "select event_id from events where event_id % 2 = 0")
+@register("incremental_ids", "select event_id from events")
 def incremental_ids(spark, sf_dir):
     """Two runs of one drain: the second finds nothing new."""
     path = work_dir(spark)
     for _ in range(2):
-        collect.drain(event_stream(spark, sf_dir).where("event_id % 2 = 0").select("event_id"), f"{path}/out", f"{path}/checkpoint")
+        collect.drain(event_stream(spark, sf_dir).select("event_id"), f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema("event_id bigint").parquet(f"{path}/out")
 
 
@@ -355,11 +355,11 @@ def random_matchups(spark, sf_dir):
     return met.groupBy(labels.served(F.lit(0.5) + F.lit(0.02) * (F.col("kx") - F.col("ky"))).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("balanced_seeds", "select c_custkey, c_mktsegment from (select *, row_number() over (partition by c_mktsegment order by md5(c_custkey::varchar), c_custkey) r from customer where c_custkey % 10 <> 0) where r <= 20")
+@register("balanced_seeds", "select c_custkey, c_mktsegment from (select *, row_number() over (partition by c_mktsegment order by md5(c_custkey::varchar), c_custkey) r from customer where c_acctbal >= 0) where r <= 20")
 def balanced_seeds(spark, sf_dir):
     """A quota of players of each band, without those that a crawl begins from."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    begun = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("b"))
+    begun = c.where("c_acctbal < 0").select(F.col("c_custkey").alias("b"))
     return neighbours.strata(c.join(begun, F.col("c_custkey") == F.col("b"), "left_anti"), "c_mktsegment", "c_custkey", 20).select("c_custkey", "c_mktsegment")
 
 

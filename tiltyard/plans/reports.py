@@ -253,10 +253,10 @@ def role_profile(spark, sf_dir):
     return rounded(out, "elixir_mean", "elixir_std")
 
 
-@register("knn_novelty", "with q as (select vec_id id, embedding::double[] v from embeddings where vec_id % 2 = 0), r as (select vec_id id, embedding::double[] v from embeddings where vec_id % 2 = 1), d as (select q.id, list_distance(q.v, r.v) d from q, r), k as (select *, row_number() over (partition by id order by d) n from d) select id, round(avg(d), 5) distance from k where n <= 25 group by 1")
+@register("knn_novelty", "with e as (select vec_id id, embedding::double[] v from embeddings), d as (select q.id, list_distance(q.v, r.v) d from e q join e r on q.id <> r.id), k as (select *, row_number() over (partition by id order by d) n from d) select id, round(avg(d), 5) distance from k where n <= 25 group by 1")
 def knn_novelty(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return composition.nearest(e.where("id % 2 = 0"), e.where("id % 2 = 1"), 25).withColumn("distance", F.round("distance", 5))
+    return composition.nearest(e, e, 25).withColumn("distance", F.round("distance", 5))
 
 
 # Neighbours and selection ----------------------------------------------------------------------------

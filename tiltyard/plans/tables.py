@@ -122,11 +122,11 @@ def dedup_first(spark, sf_dir):
     return prepare.first_of(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id", "event_type"], F.col("ts"), F.col("event_id")).select("event_id", "user_id", "event_type", "value")
 
 
-@register("dedup_new_batch", "select event_id, user_id from (select *, row_number() over (partition by user_id order by ts, event_id) r from events where event_type = 'view' or event_id % 3 = 0) where r = 1 and user_id not in (select user_id from events where event_id < 50)")
+@register("dedup_new_batch", "select event_id, user_id from (select *, row_number() over (partition by user_id order by ts, event_id) r from events where event_type = 'view') where r = 1 and user_id not in (select user_id from events where value > 250)")
 def dedup_new_batch(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    seen = events.where("event_id < 50").select("user_id").distinct()
-    return prepare.new_rows(events.where("event_type = 'view' or event_id % 3 = 0"), seen, "user_id", F.col("ts"), F.col("event_id")).select("event_id", "user_id")
+    seen = events.where("value > 250").select("user_id").distinct()
+    return prepare.new_rows(events.where("event_type = 'view'"), seen, "user_id", F.col("ts"), F.col("event_id")).select("event_id", "user_id")
 
 
 @register("chrono_cutoffs", f"{BASE}, {CUTS} select round(c[1], 6) c1, round(c[2], 6) c2 from cuts")
@@ -277,10 +277,10 @@ def prior_buckets(spark, sf_dir):
     return s.groupBy(segments.prior_bucket(c).alias("bucket"), segments.served(c, ["ranked:league-1-2", "ladder:5000-6999"], "ladder:5000-6999").alias("served")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("segment_backfill", f"with s as (select *, {EXACT} segment from ({ORDER_SEGMENTS})), l as (select o_orderkey k, o_orderkey % 6 found from orders where o_orderkey % 3 = 0) select s.o_orderkey, case when lower(mode) = 'ranked' and segment not like 'ranked:league-%' then case when found > 0 then 'ranked:league-' || found else 'ranked:unknown' end else segment end segment from s left join l on s.o_orderkey = l.k")
+@register("segment_backfill", f"with s as (select *, {EXACT} segment from ({ORDER_SEGMENTS})), l as (select o_orderkey k, o_orderkey % 6 found from orders where o_orderpriority = '1-URGENT') select s.o_orderkey, case when lower(mode) = 'ranked' and segment not like 'ranked:league-%' then case when found > 0 then 'ranked:league-' || found else 'ranked:unknown' end else segment end segment from s left join l on s.o_orderkey = l.k")
 def segment_backfill(spark, sf_dir):
     s = exact_segments(spark, sf_dir)
-    found = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 6).alias("found"))
+    found = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 6).alias("found"))
     return s.join(found, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", segments.backfilled(F.col("segment"), F.lower("mode"), F.col("found")).alias("segment"))
 
 
