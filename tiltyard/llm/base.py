@@ -90,14 +90,15 @@ def _contracted(edges: DataFrame, final: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, root), root the smallest id reachable.
 
-    A round contracts each partition's edges to stars, before and after they are dealt by their greater end,
-    and then replaces an edge's lesser end by that one's own root, with a join. A vertex with any number of
-    links so is nowhere one task's list. It ends when each vertex has one edge, to a vertex that has none.
+    Each partition's edges are contracted to stars, so that a vertex is then the greater end of no more edges
+    than there are partitions. A round deals edges by their greater end, contracts them again, and replaces an
+    edge's lesser end by that one's own root, with a join. A vertex with any number of links so is nowhere one
+    task's list. It ends when each vertex has one edge, to a vertex that has none.
     Rounds are written to the shared folder. Vertices without edges have no row.
     """
-    rest = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    rest = _contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False)
     while True:
-        stars = _contracted(_contracted(rest, False).repartition("u"), True)
+        stars = _contracted(rest.repartition("u"), True)
         stars, seen = materialize(stars, F.count(F.when(~F.col("own"), 1)).alias("foreign"))
         up = stars.select(F.col("u").alias("p_u"), F.col("v").alias("p_v"))
         jumped = stars.join(up, stars["v"] == up["p_u"], "left").select("u", F.coalesce("p_v", "v").alias("v"), F.col("p_v").isNotNull().alias("moved"))
