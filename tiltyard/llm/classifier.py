@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.llm.base import Chunk, chunks, lists, map_arrow, mix, numbered
+from tiltyard.llm.base import Chunk, chunks, lists, map_arrow, materialize, mix, numbered
 from tiltyard.llm.hmm import summed
 from tiltyard.llm.quality import repeated_in
 
 #: The network learns from at most so many labelled documents, those with the least hash of their id.
 LABELLED_ROWS = 20_000
+LEARNING_TASKS = 24
 SIZE = 64  # of a word vector and of an index vector
 BUCKETS = 1 << 14  # words share vectors by hash
 FORMS = 1 << 9  # what a word looks like: which kinds of characters, and whether it repeats
@@ -75,7 +76,9 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
             yield b, total[b : b + 64].ravel()
 
     got = summed(texts.select("text"), count)
-    total = np.concatenate([got[b] for b in range(0, BUCKETS, 64)]).reshape(BUCKETS, SIZE) if got else np.zeros((BUCKETS, SIZE))
+    total = np.zeros((BUCKETS, SIZE))
+    for b, values in got.items():
+        total[b : b + 64] = values.reshape(-1, SIZE)
     total = total - total.mean(axis=0)
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     return (total + 0.5 * _WORD_INDEX / np.sqrt(6)).astype(np.float32)
@@ -158,7 +161,8 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> D
     spark = docs.sparkSession
     chosen = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # At most ``rows`` labels, so a fixed number of tasks holds their texts, however many partitions all have.
+    known = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(LEARNING_TASKS))
     vectors = spark.sparkContext.broadcast(context_vectors(known))
 
     def features(batch: pa.RecordBatch) -> dict:

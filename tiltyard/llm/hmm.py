@@ -250,11 +250,12 @@ def _matrices(ids, start, size, m: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(df: DataFrame, fn) -> dict[int, np.ndarray]:
     """The sums of the blocks of numbers that ``fn`` makes of a partition's batches, added across partitions
-    a few blocks a task; what comes back is as large as one partition's."""
+    a few blocks a task; what comes back is as large as one partition's. Blocks of zeros aren't sent."""
 
     def make(batches: Iterable[pa.RecordBatch]):
         for block, values in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["block", "data"])
+            if values.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["block", "data"])
 
     def add(batches: Iterable[pa.RecordBatch]):
         total: dict[int, np.ndarray] = {}
@@ -288,7 +289,7 @@ def company(rows: DataFrame, seeds: int) -> np.ndarray:
             yield i, total[i]
 
     got = summed(rows.select("ids"), count)
-    return np.array([got[i] for i in range(seeds)]) if got else np.zeros((seeds, seeds))
+    return np.array([got.get(i, np.zeros(seeds)) for i in range(seeds)])
 
 
 def first_model(together: np.ndarray, plain: np.ndarray, states: int) -> Model:
@@ -341,8 +342,11 @@ def baum_welch(rows: DataFrame, m: Model, plain: np.ndarray) -> Model:
     shared.unpersist()
     if not got:
         return m
-    emit = np.concatenate([got[b] for b in range(0, symbols, BLOCK)]).reshape(symbols, s)
-    move = got[-1].reshape(s, s) + 0.1
+    emit = np.zeros((symbols, s))
+    for b in range(0, symbols, BLOCK):
+        if b in got:
+            emit[b : b + BLOCK] = got[b].reshape(-1, s)
+    move = got.get(-1, np.zeros(s * s)).reshape(s, s) + 0.1
     start = got[-2] + 0.1
     emit = (emit + SMOOTH * plain[:, None]) / (emit.sum(axis=0) + SMOOTH)
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
