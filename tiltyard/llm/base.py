@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -204,8 +205,22 @@ def chunks(column: pa.Array, lower: bool = False, limit: int = 1 << 20) -> Itera
         lo = hi
 
 
+#: Arrow batches between the JVM and Python, whose copies live in both: at most so many bytes in our sessions.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches made no larger than BATCH_BYTES, whatever rows hold."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", df.sparkSession.conf.get(name).lower()).groups()
+    if int(size) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow over whole batches; ``fn`` takes a batch and returns its columns, named."""
+    """mapInArrow over whole batches; ``fn`` takes a batch and returns its columns, named, or gives them part by
+    part as a generator."""
     target = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +230,10 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([as_arrow(out[f.name], f.type) for f in to], schema=to)
+                for part in [out] if isinstance(out, dict) else out:
+                    yield pa.RecordBatch.from_arrays([as_arrow(part[f.name], f.type) for f in to], schema=to)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def as_arrow(values, kind: pa.DataType) -> pa.Array:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.llm.base import Chunk, as_arrow, chunks, mix, numbered, span_hashes
+from tiltyard.llm.base import Chunk, as_arrow, chunks, mix, numbered, small_batches, span_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_echoes")
 #: At most so many labelled rows, those with the least hash of their id, teach the list.
@@ -195,7 +195,7 @@ def with_counts(docs: DataFrame, name: str) -> DataFrame:
             made = pa.StructArray.from_arrays([as_arrow(values[k], pa.int64()) for k in COUNTS], list(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, precision: float = 0.97) -> list[list[Condition]]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltyard.llm.automaton import Automaton, backwards, parse
-from tiltyard.llm.base import as_arrow, map_arrow, text_bytes
+from tiltyard.llm.base import as_arrow, map_arrow, small_batches, text_bytes
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ class Scanner:
                 return start + end
             size *= 16
 
-    def scan(self, column: pa.Array, limit: int = 1 << 22) -> list[list[tuple[str, int, int]]]:
+    def scan(self, column: pa.Array, limit: int = 1 << 20) -> list[list[tuple[str, int, int]]]:
         """The spans of each text in code points."""
         data, off = text_bytes(column)
         out: list[list[tuple[str, int, int]]] = [[] for _ in range(len(off) - 1)]
@@ -180,7 +180,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
                 batch = batch.set_column(at, batch.schema.field(at), as_arrow(texts, batch.schema.field(at).type))
             yield batch
 
-    out = docs.mapInArrow(clean, kinds)
+    out = small_batches(docs).mapInArrow(clean, kinds)
     if types.get("n_chars") in ("bigint", "int"):
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(types["n_chars"]))
     return out
