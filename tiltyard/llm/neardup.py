@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.llm.base import Chunk, Forest, Grouped, as_arrow, chunks, components, lists, map_arrow, materialize, mix, numbered
+from tiltyard.llm.base import Chunk, Forest, Grouped, as_arrow, chunks, components, lists, map_arrow, materialize, mix, numbered, small_batches
 
 WORDS, PERCENT = 5, 75  # a shingle's words; the least similarity, in hundredths
 ROWS, BANDS = 5, 48  # a pair at the least similarity shares no band once in 400,000 times
@@ -110,15 +110,6 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "sketch_a", "sketch_b"), keep, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, group: str, count: str, block: int, id_: str = "id") -> DataFrame:
-    """Rows dealt to tasks (group, i, j) so that any two rows of a group meet in one, each task having two
-    blocks of about ``block`` rows at most: a group of few rows is one task (i = j = 0)."""
-    blocks = F.greatest(F.ceil(F.col(count) / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64(id_, F.lit("block")), blocks).cast("int")
-    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other").drop(count)
-
-
 def by_task(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     """``fn`` over the table of each key, many small keys to a task: one sort, and runs read from batches."""
     spread = rows.repartition(*keys).sortWithinPartitions(*keys)
@@ -139,11 +130,11 @@ def by_task(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
         if held[to.names[0]]:
             yield pa.RecordBatch.from_arrays([as_arrow(held[f.name], f.type) for f in to], schema=to)
 
-    return spread.mapInArrow(run, schema)
+    return small_batches(spread).mapInArrow(run, schema)
 
 
 def candidate_links(table: pa.Table) -> dict | None:
-    """Of one bucket's rows (id, root, own, sketch): pairs, of different roots, that the sketches hold to be
+    """Of one bucket's rows (id, root, sketch): pairs, of different roots, that the sketches hold to be
     close; no more of them than connect what all such pairs connect."""
     root, ids = table["root"].to_numpy(), table["id"].to_numpy()
     if (root == root[0]).all():
@@ -163,7 +154,7 @@ def candidate_links(table: pa.Table) -> dict | None:
 
 
 def exact_links(table: pa.Table) -> dict | None:
-    """Of rows (id, root, own, hub, hashes): pairs, of different roots, whose sets are confirmed similar; no
+    """Of rows (id, root, hashes): pairs, of different roots, whose sets are confirmed similar; no
     more of them than connect what all such pairs connect.
 
     Sizes of intersections come from one product of the sets' incidence matrix, some elements at a time.
@@ -210,26 +201,38 @@ def rooted(ids: DataFrame, roots: DataFrame) -> DataFrame:
 def set_hashes(docs: DataFrame) -> DataFrame:
     """Rows (id, hashes): each text's distinct shingles."""
 
-    def sets(batch: pa.RecordBatch) -> dict:
-        sizes, values = [], []
+    def sets(batch: pa.RecordBatch):
         for part in chunks(batch.column(1), lower=True):
             hashes, bounds = shingles(part)
-            for i in range(part.n):
-                own = np.unique(hashes[bounds[i] : bounds[i + 1]])
-                sizes.append(len(own))
-                values.append(own)
-        return {"id": batch.column(0), "hashes": lists(np.concatenate(values).view(np.int64), np.array(sizes), pa.int64())}
+            own = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(part.n)]
+            sizes = np.array([len(x) for x in own])
+            yield {"id": batch.column(0).slice(part.first, part.n), "hashes": lists(np.concatenate(own).view(np.int64), sizes, pa.int64())}
 
     return map_arrow(docs, sets, "id long, hashes array<long>")
 
 
+def outside_against_all(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows (group, id, root) dealt to tasks (group, i, j): whatever lies outside a group's largest part meets all
+    of the group, two blocks a task. What a large part has in common is known and isn't compared again, so the
+    work is that of the rest times the group."""
+    sizes = rows.groupBy(group, "root").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col(group).alias("m_group"))
+    main = sizes.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).where("n > most")
+    at = rows.join(main, F.col(group) == F.col("m_group"))
+    left = F.ceil((F.col("n") - F.col("most")) / block).cast("int")
+    right = F.ceil(F.col("n") / block).cast("int")
+    own = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    as_left = at.where("root <> main").select(group, "id", "root", own("l", left).alias("i"), F.explode(F.sequence(F.lit(0), right - 1)).alias("j"))
+    as_right = at.select(group, "id", "root", F.explode(F.sequence(F.lit(0), left - 1)).alias("i"), own("r", right).alias("j"))
+    return as_left.union(as_right).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): the groups of documents that links connect, a link being
     100 * intersection >= 75 * union of two documents' sets of shingles.
 
     1. Documents with equal sets are one class, known by its least id; only classes go on.
     2. MinHash bands give buckets. Each class is held against its buckets' least class by odd sketches; then
-       buckets that still have several groups compare all that is left across groups, in blocks. This
+       buckets that still have several groups compare across groups, large ones what lies outside their largest. This
        connects every pair that shares a bucket and that sketches can't tell apart into candidate groups.
     3. Candidate groups are confirmed on whole sets: blocks of a group at a time with a few common members,
        and then, of groups with several blocks, whatever those blocks left apart against all the rest.
@@ -250,7 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     banded = ones.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(banded.join(buckets, "key").select("key", "id", "hub", "n"))
+    members, seen = materialize(banded.join(buckets, "key").select("key", "id", "hub", "n"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
     stars = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     close = materialize(close_pairs(stars, sketches))
     # Known to be connected: a class, its least close hub, and that one's.
@@ -260,12 +263,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     apart = rooted(members.select("key", "id", "n"), groups)
     open_ = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("o_key"))
-    apart = apart.join(open_, apart["key"] == open_["o_key"], "left_semi").join(sketches, "id")
-    more = by_task(in_blocks(apart, "key", "n", 4 * BLOCK), ["key", "i", "j"], candidate_links, "a long, b long")
+    apart = apart.join(open_, apart["key"] == open_["o_key"], "left_semi")
+    few = apart.where(F.col("n") <= 4 * BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "root")
+    if seen["n"] > 4 * BLOCK:
+        many = outside_against_all(apart.where(F.col("n") > 4 * BLOCK).select("key", "id", "root"), "key", 2 * BLOCK)
+        few = few.union(many.select("key", "i", "j", "id", "root"))
+    more = by_task(few.join(sketches, "id"), ["key", "i", "j"], candidate_links, "a long, b long")
     groups = components(close.union(more))
 
     sized = groups.join(groups.groupBy(F.col("root").alias("group")).agg(F.count(F.lit(1)).alias("n")), F.col("root") == F.col("group")).select("id", "group", "n")
-    sized = materialize(sized)
+    sized, most = materialize(sized, F.coalesce(F.max("n"), F.lit(0)).alias("n"))
     texts = docs.select(F.col("doc_id").alias("t_id"), "text").join(sized.select("id"), F.col("t_id") == F.col("id"), "left_semi")
     sets = materialize(set_hashes(texts.select(F.col("t_id").alias("id"), "text")).dropDuplicates(["id"]))
     full = sized.join(sets, "id")
@@ -277,20 +284,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(by_task(dealt.select("group", "i", "id", "root", "hashes"), ["group", "i"], exact_links, "a long, b long"))
     final = components(links)
 
-    large = rooted(sized.where(F.col("n") > BLOCK), final)
-    main = large.groupBy("group", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-    large = large.join(main.withColumnRenamed("group", "m_group"), F.col("group") == F.col("m_group")).select("group", "id", "root", "n", "main")
-    if large.take(1):
-        # Whatever lies outside a group's largest part is held against all of the group, in blocks.
-        rest = large.where("root <> main")
-        few = rest.groupBy(F.col("group").alias("r_group")).agg(F.count(F.lit(1)).alias("rest"))
-        spread = large.join(few, F.col("group") == F.col("r_group")).withColumn("outside", F.col("root") != F.col("main"))
-        left = F.greatest(F.ceil(F.col("rest") / BLOCK), F.lit(1)).cast("int")
-        right = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-        li, ri = F.pmod(F.xxhash64("id", F.lit("l")), left).cast("int"), F.pmod(F.xxhash64("id", F.lit("r")), right).cast("int")
-        as_left = spread.where("outside").select("group", "id", "root", li.alias("i"), F.explode(F.sequence(F.lit(0), right - 1)).alias("j"))
-        as_right = spread.select("group", "id", "root", F.explode(F.sequence(F.lit(0), left - 1)).alias("i"), ri.alias("j"))
-        tasks = as_left.union(as_right).distinct().join(sets, "id")
+    if most["n"] > BLOCK:  # groups of several blocks: what those blocks left apart
+        large = rooted(sized.where(F.col("n") > BLOCK), final).select("group", "id", "root")
+        tasks = outside_against_all(large, "group", BLOCK).join(sets, "id")
         late = by_task(tasks.select("group", "i", "j", "id", "root", "hashes"), ["group", "i", "j"], exact_links, "a long, b long")
         final = components(links.union(late))
 
