@@ -193,16 +193,18 @@ class Graph:
         """Pairs (query, node) of a cosine of at least ``least``: a beam that is all of such nodes is widened
         until it isn't, or holds the shard."""
         q, node = [], []
-        for part in np.array_split(np.arange(len(queries)), -(-len(queries) // 256) or 1):
-            todo, wide = part, width
-            while len(todo):
-                beam, sims = self.search(queries[todo], wide)
+        todo, wide = np.arange(len(queries)), width
+        while len(todo):
+            again = []
+            for lo in range(0, len(todo), step := max(8, (1 << 20) // max(wide, 4096))):
+                part = todo[lo : lo + step]
+                beam, sims = self.search(queries[part], wide)
                 full = (sims[:, -1] >= least) & (wide < len(self.x))
-                hit = (sims >= least) & ~full[:, None]
-                r, c = np.nonzero(hit)
-                q.append(todo[r])
+                r, c = np.nonzero((sims >= least) & ~full[:, None])
+                q.append(part[r])
                 node.append(beam[r, c])
-                todo, wide = todo[full], wide * 4
+                again.append(part[full])
+            todo, wide = np.concatenate(again), wide * 4
         return (np.concatenate(q), np.concatenate(node)) if q else (np.zeros(0, int), np.zeros(0, int))
 
 
