@@ -95,7 +95,7 @@ def weighted_cut(rows: DataFrame, column: Column, wanted: dict[int, float], whol
     brings back at most 4096 sums a node, until the border lies among few rows.
     """
     prefix, left, heavy = dict.fromkeys(wanted, 0), dict(wanted), {}
-    slabs: dict[int, tuple[int, int]] = {}
+    slabs: dict[int, tuple[int, int, int]] = {}
     shared = lambda p, shift: (F.shiftrightunsigned(column, shift) == p) if shift < _KEY else F.lit(True)
     for shift in range(_KEY - _DIGIT, -1, -_DIGIT):
         todo = [n for n in wanted if n not in slabs]
@@ -106,21 +106,28 @@ def weighted_cut(rows: DataFrame, column: Column, wanted: dict[int, float], whol
         sums = rows.where(here).groupBy("node", digit).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
         for n in todo:
             bins = sorted((r["digit"], r["w"], r["n"]) for r in sums if r["node"] == n)
-            for d, w, count in bins:
-                if w > left[n] or d == bins[-1][0]:
-                    break
-                left[n] -= w
-            prefix[n] = (prefix[n] << _DIGIT) + d
+            at = 0
+            while at < len(bins) - 1 and bins[at][1] <= left[n]:
+                left[n] -= bins[at][1]
+                at += 1
+            above = prefix[n] << _DIGIT
+            prefix[n] = above + bins[at][0]
+            count = bins[at][2]
             if count <= _SLAB:
-                slabs[n] = (prefix[n], shift)
+                first = at  # the bins before it, as long as all are few rows, so that rows can be chosen among
+                while first and count + bins[first - 1][2] <= _SLAB:
+                    first -= 1
+                    count += bins[first][2]
+                    left[n] += bins[first][1]
+                slabs[n] = (above + bins[first][0], prefix[n], shift)
             elif shift == 0:
                 heavy[n] = (prefix[n], left[n])
     found: dict[int, tuple[int, tuple[int, ...]]] = {}
     if slabs:
-        near = rows.where(any_of([(F.col("node") == n) & shared(p, shift) for n, (p, shift) in slabs.items()]))
+        near = rows.where(any_of([(F.col("node") == n) & F.shiftrightunsigned(column, shift).between(lo, hi) for n, (lo, hi, shift) in slabs.items()]))
         got = near.select("node", column.alias("key"), "row_hash", "size").collect()
-        for n, (p, shift) in slabs.items():
-            found[n] = (p << shift, fill([(r["key"], r["row_hash"], r["size"]) for r in got if r["node"] == n], left[n], whole[n]))
+        for n, (lo, _, shift) in slabs.items():
+            found[n] = (lo << shift, fill([(r["key"], r["row_hash"], r["size"]) for r in got if r["node"] == n], left[n], whole[n]))
     return found, heavy
 
 
