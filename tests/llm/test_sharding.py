@@ -70,3 +70,33 @@ def test_fill_takes_whole_units_first():
     assert sorted(sharding.fill(rows, 10, 100)) == [10, 11]
     assert sorted(sharding.fill(rows, 8, 0.0)) == [12]
     assert sharding.fill(rows, 0, 0.0) == ()
+
+
+def loads(rows, shards):
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    return [load[i] for i in range(shards)]
+
+
+def test_many_equal_rows_all_stay_and_are_split(docs):
+    rows = sharding.shard(docs(["same"] * 1000, [3] * 1000)).collect()
+    assert len(rows) == 1000 and max(loads(rows, 8)) - min(loads(rows, 8)) <= 5
+    rows = sharding.shard(docs(["same"] * 5000, [None] * 5000)).collect()  # more than a run of copies
+    assert len(rows) == 5000 and max(loads(rows, 8)) - min(loads(rows, 8)) <= 5
+
+
+def test_a_third_of_null_ids(docs, prose):
+    texts = [prose(i, 20 + i % 60) if i % 3 else prose(i % 9, 50) for i in range(1800)]
+    rows = sharding.shard(docs(texts, [i if i % 3 else None for i in range(1800)])).collect()
+    assert Counter(r.text_crc32 for r in rows) == Counter(zlib.crc32(t.encode()) for t in texts)
+    assert sum(r.doc_id is None for r in rows) == 600
+    target = sum(map(size, texts)) / 8
+    assert max(abs(x - target) for x in loads(rows, 8)) <= 0.03 * target
+
+
+def test_null_ids_of_different_texts(docs, prose):
+    texts = [prose(i, 20 + i % 60) for i in range(900)]
+    rows = sharding.shard(docs(texts, [i if i % 3 else None for i in range(900)])).collect()
+    target = sum(map(size, texts)) / 8
+    assert len(rows) == 900 and max(abs(x - target) for x in loads(rows, 8)) <= 0.03 * target

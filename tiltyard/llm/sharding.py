@@ -17,6 +17,7 @@ DIMENSIONS = ("size", "lang", "source", "first_id")
 
 
 _SLAB = 256  # so few rows at a border are weighed one by one
+_RUN = 4096  # copies of a row that are numbered at once
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,12 @@ def text_order(c: Column) -> Column:
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, size, text_crc32, row_hash and a key for each dimension.
+    """One row a row of ``docs``: doc_id, size, text_crc32, row_hash and a key for each dimension.
 
     The dimensions are those of a text's whole group, the rows that have the same text: its size and its least
     language, source and id. A key is the coordinate, scaled to 20 bits, and then the text's hash, so that a
-    group is one value in every dimension.
+    group is one value in every dimension. Rows that share text and id are counted and numbered, and the number is
+    part of ``row_hash``, which so tells all rows apart and depends on no order.
     """
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     names = set(docs.columns)
@@ -57,7 +59,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("text_hash"), column("lang", "string"), column("source", "string")
     )
-    rows = materialize(rows)
+    rows = materialize(rows.groupBy("text_hash", "text_crc32", "size", "doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.count(F.lit(1)).alias("n")))
     group = rows.groupBy("text_hash", "text_crc32", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("doc_id").alias("first_id"))
     at = {"size": F.log2("size"), "lang": text_order(F.col("lang")), "source": text_order(F.col("source")), "first_id": F.coalesce(F.col("first_id"), F.lit(0)).cast("double")}
     group = group.select("text_hash", "text_crc32", F.col("size").alias("group_size"), *[c.alias(d) for d, c in at.items()])
@@ -68,9 +70,11 @@ def metadata(docs: DataFrame) -> DataFrame:
         step = F.floor((F.col(d) - low) / F.greatest(high - low, F.lit(1e-9)) * ((1 << 20) - 1)).cast("long")
         scaled.append((F.shiftleft(step, 40) + F.col("text_hash").bitwiseAND((1 << 40) - 1)).alias(f"k_{d}"))
     keys = group.crossJoin(F.broadcast(ends)).select("text_hash", "text_crc32", F.col("group_size").alias("size"), *scaled)
-    row_hash = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("row")), 64 - _KEY)
     joined = rows.join(keys, ["text_hash", "text_crc32", "size"])
-    return joined.select("doc_id", "size", "text_crc32", row_hash.alias("row_hash"), *[f"k_{d}" for d in DIMENSIONS])
+    run = joined.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_RUN).cast("long"))))
+    each = run.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + _RUN, F.col("n")) - 1)))
+    row_hash = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", "copy", F.lit("row")), 64 - _KEY)
+    return each.select("doc_id", "size", "text_crc32", row_hash.alias("row_hash"), *[f"k_{d}" for d in DIMENSIONS])
 
 
 def node_of(cuts: list[Cut], root: int = 1) -> Column:
@@ -177,12 +181,13 @@ def tree(rows: DataFrame, shards: int, tolerance: float = 0.005) -> tuple[list[C
         if wanted:
             key = F.coalesce(*[F.when(F.col("node") == n, F.col(f"k_{d}")) for n, d in widest.items()])
             found, heavy = weighted_cut(at, key, wanted, whole)
-            inside = {}
+            inside, again = {}, {}
             if heavy:
                 group = at.where(any_of([(F.col("node") == n) & (key == k) for n, (k, _) in heavy.items()]))
-                inside, _ = weighted_cut(group, F.col("row_hash"), {n: w for n, (_, w) in heavy.items()}, whole)
+                inside, again = weighted_cut(group, F.col("row_hash"), {n: w for n, (_, w) in heavy.items()}, whole)
             cuts += [Cut(n, widest[n], low, chosen=chosen) for n, (low, chosen) in found.items()]
-            cuts += [Cut(n, widest[n], k, k, inside[n][0], inside[n][1]) for n, (k, _) in heavy.items() if n in inside]
+            inside |= {n: (h, ()) for n, (h, _) in again.items()}  # a node is always cut, so that no row is left inside
+            cuts += [Cut(n, widest[n], k, k, inside[n][0], inside[n][1]) for n, (k, _) in heavy.items()]
         cuts += [Cut(n, DIMENSIONS[0], 0) for n in parts if n not in wanted]
         parts = {c: s for n, k in parts.items() for c, s in ((2 * n, k // 2), (2 * n + 1, k - k // 2))}
     leaves |= parts
