@@ -125,3 +125,33 @@ def test_odd_rows(docs, odd_texts):
     only_held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     alone = hmm.score(docs(["a b", "", None], only_held)).collect()
     assert [(r.train_tokens, r.base_score, round(r.score, 12)) for r in alone] == [(0, 0.0, 0.0)] * 3
+
+
+def whole_counts(seqs, m):
+    want = {"start": np.zeros(len(m.start)), "move": np.zeros(m.move.shape), "emit": np.zeros(m.emit.shape)}
+    ids, off = flat(seqs)
+    hmm.expected(ids, off[:-1], np.diff(off), m, want)
+    return want
+
+
+@pytest.mark.parametrize("size", [1, 3, 7])
+def test_runs_give_the_counts_of_whole_texts(size):
+    rng = np.random.default_rng(4)
+    m = model(rng, 3, 5)
+    seqs = [rng.integers(0, 5, n) for n in (1, 20, 3, 7, 6, 41, 2)] + [rng.integers(0, 5, 5000)]
+    got = {"start": np.zeros(3), "move": np.zeros((3, 3)), "emit": np.zeros((5, 3))}
+    hmm.expected_texts(*flat(seqs), m, got, size)
+    want = whole_counts(seqs, m)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-8)
+
+
+def test_a_round_learns_across_runs(spark):
+    rng = np.random.default_rng(5)
+    m = model(rng, 2, 4)
+    seqs = [rng.integers(0, 4, n) for n in (3 * hmm.SEGMENT + 5, 9)]
+    plain = np.full(4, 0.25)
+    rows = spark.createDataFrame([([int(x) for x in s],) for s in seqs], "ids array<int>")
+    got, want = hmm.baum_welch(rows, m, plain), whole_counts(seqs, m)
+    start, move = want["start"] + 0.1, want["move"] * m.move + 0.1
+    assert got.start == pytest.approx(start / start.sum()) and got.move == pytest.approx(move / move.sum(axis=1, keepdims=True))

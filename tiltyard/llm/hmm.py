@@ -19,7 +19,7 @@ NEAR, EMITTED = 1 << 18, 1 << 15
 LEAST_OWN = 2  # rarer words go with the rest, which so is learned from words like those never seen
 SEEDS = 256  # the most frequent words, whose company in documents starts the states
 ROUNDS = 3
-SEGMENT = 256  # Baum-Welch reads texts in runs of so many tokens
+SEGMENT = 256  # Baum-Welch does runs of so many tokens beside each other, with what the text's other runs tell
 SMOOTH = 500.0  # weight of the plain distribution in a state's emissions
 BLOCK = 64  # words of a block of counts
 
@@ -157,18 +157,63 @@ def runs(offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return start, np.minimum(size, offsets[1:][which] - start), which
 
 
-def expected(ids: np.ndarray, start: np.ndarray, size: np.ndarray, m: Model, counts: dict[str, np.ndarray]) -> None:
-    """Add the expected counts of sequences by scaled forward and backward recursions, all in step."""
+def carried(ids: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' runs, in order: whether each is its text's first, the states' shares at the end of the run before
+    it, and the weights that the runs after it give to the states at its own end."""
+    n, s = len(which), len(m.start)
+    first = np.ones(n, bool)
+    first[1:] = which[1:] != which[:-1]
+    came, after = np.zeros((n, s)), np.ones((n, s))
+    later = np.flatnonzero(~first)
+    if len(later):
+        mats = np.concatenate([_matrices(ids, start[x], size[x], m)[0] for x in np.split(later, range(2000, len(later), 2000))])
+        begun = later[first[later - 1]] - 1
+        came[begun + 1] = _vectors(ids, start[begun], size[begun], m)[0]
+        for i, r in enumerate(later):
+            if r + 1 < n and not first[r + 1]:
+                v = came[r] @ mats[i]
+                came[r + 1] = v / v.sum()
+        for i in range(len(later) - 1, -1, -1):
+            v = mats[i] @ after[later[i]]
+            after[later[i] - 1] = v / v.sum()
+    return first, came, after
+
+
+def expected_texts(ids: np.ndarray, offsets: np.ndarray, m: Model, counts: dict[str, np.ndarray], size: int = SEGMENT) -> None:
+    """Add the expected counts of whole texts, about 2000 runs at a time (one text's, if it has more)."""
+    start, length, which = runs(offsets, size)
+    lo = 0
+    while lo < len(start):
+        hi = int(np.searchsorted(which, which[min(lo + 2000, len(start) - 1)])) if lo + 2000 < len(start) else len(start)
+        if hi <= lo:
+            hi = int(np.searchsorted(which, which[lo], "right"))
+        first, came, after = carried(ids, start[lo:hi], length[lo:hi], which[lo:hi], m)
+        for a in range(lo, hi, 2000):
+            b = min(a + 2000, hi)
+            own = slice(a - lo, b - lo)
+            expected(ids, start[a:b], length[a:b], m, counts, first[own], came[own], after[own])
+        lo = hi
+
+
+def expected(
+    ids: np.ndarray, start: np.ndarray, size: np.ndarray, m: Model, counts: dict[str, np.ndarray],
+    first: np.ndarray | None = None, came: np.ndarray | None = None, after: np.ndarray | None = None,
+) -> None:
+    """Add the expected counts of sequences by scaled forward and backward recursions, all in step; of whole texts,
+    or of runs of them with what ``carried`` gives for these."""
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     long, s = int(size[0]), len(m.start)
+    first = np.ones(len(size), bool) if first is None else first[order]
+    came = np.zeros((len(size), s)) if came is None else came[order]
+    after = np.ones((len(size), s)) if after is None else after[order]
     active = np.searchsorted(-size, -np.arange(long), "left")  # sequences longer than t
     before = np.concatenate(([0], np.cumsum(active)))
     seen = np.concatenate([ids[start[: active[t]] + t] for t in range(long)])
     emit = m.emit[seen]
     alpha = np.empty_like(emit)
     scale = np.empty(len(emit))
-    a = np.broadcast_to(m.start, (active[0], s))
+    a = np.where(first[:, None], m.start, came @ m.move)
     for t in range(long):
         part = slice(before[t], before[t + 1])
         a = (a if t == 0 else a[: active[t]] @ m.move) * emit[part]
@@ -176,7 +221,7 @@ def expected(ids: np.ndarray, start: np.ndarray, size: np.ndarray, m: Model, cou
         a = a / scale[part][:, None]
         alpha[part] = a
     gamma = np.empty_like(emit)
-    beta = np.ones((active[0], s))
+    beta = after / (alpha[before[size - 1] + np.arange(len(size))] * after).sum(axis=1)[:, None]
     for t in range(long - 1, -1, -1):
         part = slice(before[t], before[t + 1])
         n = active[t]
@@ -185,7 +230,9 @@ def expected(ids: np.ndarray, start: np.ndarray, size: np.ndarray, m: Model, cou
             ahead = emit[part] * beta[:n] / scale[part][:, None]
             counts["move"] += alpha[before[t - 1] : before[t - 1] + n].T @ ahead
             beta[:n] = ahead @ m.move.T
-    counts["start"] += gamma[: active[0]].sum(axis=0)
+        else:
+            counts["move"] += came.T @ (emit[part] * beta / scale[part][:, None])  # from the run before; zeros at a text's first
+    counts["start"] += gamma[: active[0]][first].sum(axis=0)
     for k in range(s):
         counts["emit"][:, k] += np.bincount(seen, weights=gamma[:, k], minlength=len(m.emit))
 
@@ -328,10 +375,7 @@ def baum_welch(rows: DataFrame, m: Model, plain: np.ndarray) -> Model:
         total = {"start": np.zeros(s), "move": np.zeros((s, s)), "emit": np.zeros((symbols, s))}
         for batch in batches:
             ids, off = flat_lists(batch.column(0))
-            start, size, _ = runs(off, SEGMENT)
-            for lo in range(0, len(start), 2000):
-                if len(part := size[lo : lo + 2000]):
-                    expected(ids, start[lo : lo + 2000], part, model, total)
+            expected_texts(ids, off, model, total)
         total["move"] *= model.move
         yield -2, total["start"]
         yield -1, total["move"].ravel()
