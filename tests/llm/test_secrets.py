@@ -87,3 +87,26 @@ def test_redaction(docs):
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[0].text == "my [secret] end" and rows[0].n_chars == len(rows[0].text)
     assert rows[1].text == "clean" and rows[2].text is None and rows[3].text == "é [secret]!"
+
+
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+LINES = ["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6 for _ in range(30)] + ["Zk9="]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"a {BEGIN}\n" + "\n".join(LINES) + f"\n{END} b", "a [secret] b"),
+        (f"a {BEGIN}\r\n" + "\r\n".join(LINES) + f"\r\n{END}\r\nb", "a [secret]\r\nb"),
+        (f"a {BEGIN}\\n" + "\\n".join(LINES) + f"\\n{END} b", "a [secret] b"),
+        (f"a {BEGIN} " + " ".join(LINES) + f" {END} b", "a [secret] b"),
+        (f"a {BEGIN}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + "\n".join(LINES) + f"\n{END} b", "a [secret] b"),
+        (f"a {BEGIN}\n" + "\n".join(LINES), "a [secret]"),
+        (f"a {BEGIN}\n" + "\n".join(LINES) + "\n\nand so on", "a [secret]\n\nand so on"),
+        (f"{BEGIN}\n{LINES[0]}\n{END} and {BEGIN}\n{LINES[1]}\n{END}", "[secret] and [secret]"),
+        (f"the line {BEGIN}\nis a marker", "the line [secret]\nis a marker"),
+        ("a eyJ" + "aB3" * 200 + ".eyJ" + "cD4" * 300 + "." + "eF5" * 20 + " b", "a [secret] b"),
+    ],
+)
+def test_whole_keys_go(docs, text, want):
+    assert [r.text for r in secrets.redact_secrets(docs([text])).collect()] == [want]

@@ -219,15 +219,19 @@ class Automaton:
 
     def longest(self, data: bytes) -> int:
         """The end of the longest match at the beginning of ``data``, or -1."""
+        return self.follow(data)[0]
+
+    def follow(self, data: bytes) -> tuple[int, bool]:
+        """The same, and whether more data could make a longer match."""
         table, klass, width, accepts, dead = self.rows()
         state, end = 0, 0 if accepts[0] else -1
         for i, b in enumerate(data):
             state = table[state * width + klass[b]]
             if state == dead:
-                break
+                return end, False
             if accepts[state]:
                 end = i + 1
-        return end
+        return end, True
 
     def rows(self):
         if not hasattr(self, "_rows"):

@@ -17,12 +17,14 @@ from tiltyard.llm.base import as_arrow, map_arrow, small_batches, text_bytes
 @dataclass(frozen=True)
 class Rule:
     """Leftmost, longest, non-overlapping matches of ``head`` and then ``body``; those whose part after the
-    head has fewer than ``least`` characters are dropped, though what they cover stays used up."""
+    head has fewer than ``least`` characters are dropped, though what they cover stays used up. A match runs on
+    over a ``tail`` where one follows."""
 
     kind: str
     head: str
     body: str
     least: int = 0
+    tail: str = ""
 
 
 _ANY_CASE = {c: f"[{c}{c.upper()}]" for c in "abcdefghijklmnopqrstuvwxyz"}
@@ -38,8 +40,13 @@ BASE = (
     Rule("access", "AKIA", "[A-Z0-9]+", 16),
     Rule("hex", "", "[0-9a-f]{24,}"),  # the same as runs of hexadecimal digits, less those under 24
 )
+_KEY = r"([A-Z]+\x20)*PRIVATE\x20KEY-----"
+_BETWEEN = r"([\x20\t\r\n]|\\[nrt])+"  # line ends may be escaped, or be spaces
+# To the END marker; without one over header lines, lines of 16 or more characters, and a shorter last one.
+_TO_END = r"([\x20\t\r\nA-Za-z0-9+/=:;,._@\\]|-[\x20\t\r\nA-Za-z0-9+/=:;,._@\\])*-----END\x20" + _KEY
+_LINES = rf"({_BETWEEN}[A-Z][A-Za-z-]*:\x20[A-Za-z0-9,-]+)*({_BETWEEN}[A-Za-z0-9+/=]{{16,}})+((\r?\n|(\\r)?\\n|\x20)[A-Za-z0-9+/=]+)?"
 MORE = (
-    Rule("pem", "", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"),
+    Rule("pem", "", r"-----BEGIN\x20" + _KEY, tail=f"({_TO_END}|{_LINES})"),
     Rule("forge", "gh[opsur]_", "[A-Za-z0-9]+", 36),
     Rule("chat", "xox[abprs]-", "[A-Za-z0-9-]+", 10),
     Rule("cloud", "AIza", "[A-Za-z0-9_-]+", 35),
@@ -54,7 +61,7 @@ class Scanner:
         self.rules = rules
         whole = [parse(r.head + r.body) for r in rules]
         self.starts = Automaton([backwards(x) for x in whole], anywhere=True)
-        self.ends = [Automaton([x], anywhere=False) for x in whole]
+        self.ends = [Automaton([parse(f"{r.head}{r.body}({r.tail})?") if r.tail else x], anywhere=False) for r, x in zip(rules, whole)]
         self.heads = [Automaton([parse(r.head)], anywhere=False) if r.head and r.least else None for r in rules]
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
@@ -89,8 +96,8 @@ class Scanner:
     def _end(automaton: Automaton, data: np.ndarray, start: int, limit: int) -> int:
         size = 256  # most matches are short
         while True:
-            end = automaton.longest(data[start : min(limit, start + size)].tobytes())
-            if end < size or start + size >= limit:
+            end, more = automaton.follow(data[start : min(limit, start + size)].tobytes())
+            if not more or start + size >= limit:
                 return start + end
             size *= 16
 
