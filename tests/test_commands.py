@@ -103,13 +103,13 @@ def test_discriminator(spark):
     df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(400)], "id int, emitted int, a double, b double, `c:d` double")
     columns = ["a", "b", "c:d"]
     assert discriminator.oof_auc(discriminator.out_of_fold(df, columns, "emitted", "id")) > 0.8
-    assert [c for c, a in discriminator.sweep(df, columns, "emitted", "id", (0.05, 1.0)) if a > 0.8] == [0.05, 1.0]
-    ends = discriminator.standard(df, columns, "emitted")
-    m = discriminator.fit(discriminator.rows_of(df, columns, "emitted", ends, "id"), 1.0)
-    weights, intercept = discriminator.raw_weights(m, columns, ends)
-    raw = {r["id"]: r["s"] for r in df.select("id", discriminator.linear(weights, intercept).alias("s")).collect()}
-    for r in discriminator.decision(m, discriminator.rows_of(df, columns, "emitted", ends, "id")).collect():
-        assert raw[r["id"]] == pytest.approx(r["score"], abs=1e-9)
+    assert {r.config for r in discriminator.sweep(df, columns, "emitted", "id", (0.05, 1.0)).collect() if r.auc > 0.8} == {"0.05", "1.0"}
+    weights, intercept = discriminator.fit(df, columns, "emitted", 0.5)
+    z = (x - x[y == 0].mean(axis=0)) / x[y == 0].std(axis=0)  # at the optimum the penalised, balanced loss has no slope
+    beta = np.array([weights[c] for c in columns]) * x[y == 0].std(axis=0)
+    s = x @ np.array([weights[c] for c in columns]) + intercept
+    off = np.where(y == 1, 400 / 200, 400 / 600) * (1 / (1 + np.exp(-s)) - y)
+    assert np.abs(z.T @ off + beta / 0.5).max() < 1e-6 and abs(off.sum()) < 1e-6
     at = discriminator.operating_point(df, discriminator.linear(weights, intercept), "emitted", 0.05).first()
     assert at.flag_rate_real == pytest.approx(0.05, abs=0.01) and at.flag_rate_emitted > 0.2
     control = {r.config: r.auc for r in discriminator.controls(df, columns, "emitted", "id", {"open": ("true", ()), "without a": ("true", ("a",)), "near": ("a > 0", ())}).collect()}

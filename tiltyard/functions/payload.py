@@ -38,22 +38,28 @@ def battle_time(text: Column) -> Column:
 
 
 def first_positive(value, names: set[str]) -> int | None:
-    """Depth first, an object's own keys before its children."""
-    children = list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else []
-    if isinstance(value, dict):
-        for name in [k for k in value if k in names]:
-            try:
-                number = int(value[name])
-            except (TypeError, ValueError):
-                continue
-            if number > 0:
-                return number
-    for child in children:
-        if (found := first_positive(child, names)) is not None:
-            return found
+    """The first positive number under one of the names: an object's own keys in order, then what it holds, in
+    order. Payloads come from outside and may be nested deeply, so there is a list of what is left to visit."""
+    left = [value]
+    while left:
+        at = left.pop()
+        if isinstance(at, dict):
+            own = (_whole(v) for k, v in at.items() if k in names)
+            if (found := next((n for n in own if n and n > 0), None)) is not None:
+                return found
+            left.extend(reversed(at.values()))
+        elif isinstance(at, list):
+            left.extend(reversed(at))
     return None
 
 
+def _whole(value) -> int | None:
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return None
+
+
 @F.pandas_udf(T.IntegerType())
 def buried_league(raw: pd.Series) -> pd.Series:
     """A league anywhere in the payload, for the rows that have none where it is expected."""

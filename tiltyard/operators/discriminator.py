@@ -2,69 +2,186 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tiltyard.operators.metrics import auc, poisson_one
 
 
-def standard(df: DataFrame, columns: Sequence[str], label: str) -> dict[str, tuple[float, float]]:
-    """Mean and deviation of each feature over the real population (label 0); a constant has deviation one."""
-    row = df.where(F.col(label) == 0).agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
-
-
-def rows_of(df: DataFrame, columns: Sequence[str], label: str, ends: dict[str, tuple[float, float]], id_: str) -> DataFrame:
-    """(id, label, features, weight), standardised; both classes weigh the same together."""
-    values = F.array(*[(F.col(f"`{c}`").cast("double") - ends[c][0]) / ends[c][1] for c in columns])
-    n = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    total = sum(n.values())
-    weight = F.lit(0.0)
-    for k, c in n.items():
-        weight = F.when(F.col(label) == k, total / (len(n) * c)).otherwise(weight)
-    return df.select(F.col(id_).alias("id"), F.col(label).cast("double").alias("label"), array_to_vector(values).alias("features"), weight.alias("weight"))
-
-
-def fit(rows: DataFrame, strength: float) -> LogisticRegressionModel:
-    """Ridge of 1 / (strength * rows), as the penalty of a sum of losses would be."""
-    n = max(1, rows.count())
-    return LogisticRegression(regParam=1 / (strength * n), standardization=False, weightCol="weight", maxIter=200, tol=1e-9).fit(rows)
-
-
-def decision(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select("id", "label", vector_to_array("rawPrediction")[1].alias("score"))
+@dataclass(frozen=True)
+class Setup:
+    """One way to tell populations apart: which real rows take part, the columns left out, and the ridge's
+    strength (the penalty is the squared weights' half, over ``strength``)."""
+
+    condition: str = "true"
+    without: tuple[str, ...] = ()
+    strength: float = 1.0
+
+
+Weights = tuple[dict[str, float], float]  # of raw columns, and the intercept
+
+
+def standard(df: DataFrame, columns: Sequence[str], label: str, setups: Sequence[Setup] = (Setup(),)) -> list[dict[str, tuple[float, float]]]:
+    """Of each setup every feature's mean and deviation over its real population (label 0); a constant has
+    deviation one."""
+    wanted = []
+    for k, setup in enumerate(setups):
+        for i, c in enumerate(columns):
+            own = F.when((F.col(label) == 0) & F.expr(setup.condition), F.col(f"`{c}`"))
+            wanted += [F.avg(own).alias(f"m{k}_{i}"), F.stddev_pop(own).alias(f"s{k}_{i}")]
+    row = df.agg(*wanted).first()
+    return [{c: (row[f"m{k}_{i}"] or 0.0, row[f"s{k}_{i}"] or 1.0) for i, c in enumerate(columns)} for k in range(len(setups))]
+
+
+def _newton(sums: Callable[[np.ndarray], np.ndarray], models: int, d: int, steps: int = 60) -> np.ndarray:
+    """Many ridge regressions in step: ``sums`` gives, at some weights, each model's loss, gradient and curvature
+    in one pass; a step that makes a loss greater is halved."""
+    at = np.zeros((models, d))
+    step, best, grad, curve = np.zeros_like(at), np.full(models, np.inf), None, None
+    done = np.zeros(models, bool)
+    for _ in range(steps):
+        got = sums(at)
+        worse = got[:, 0] > best + 1e-9 * np.abs(best) + 1e-12
+        step[worse] /= 2
+        at[worse] -= step[worse]
+        ok = ~worse & ~done
+        best[ok] = got[ok, 0]
+        grad, curve = got[:, 1 : d + 1], got[:, d + 1 :].reshape(models, d, d)
+        for m in np.flatnonzero(ok):
+            step[m] = -np.linalg.lstsq(curve[m] + 1e-12 * np.eye(d), grad[m], rcond=None)[0]
+            at[m] += step[m]
+            done[m] = np.abs(step[m]).max() < 1e-10
+        done |= worse & (np.abs(step).max(axis=1) < 1e-10)
+        if done.all():
+            break
+    return at
+
+
+def learn(df: DataFrame, columns: Sequence[str], label: str, setups: Sequence[Setup] = (Setup(),), fold: Column | None = None, folds: int = 1) -> dict[tuple[int, int], Weights]:
+    """Weights by (setup, fold left out): logistic regressions, either class weighing the same, of all setups and
+    folds at once. Every Newton step is one pass, in which a task sums what its rows say to each model; a
+    model's sums are as many numbers as its columns squared."""
+    n, d, models = len(columns), len(columns) + 1, len(setups) * folds
+    rows = df.select(
+        F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]).alias("x"), (F.col(label) == 1).cast("double").alias("y"), (F.lit(-1) if fold is None else fold).cast("int").alias("fold"),
+        F.array(*[((F.col(label) == 1) | F.expr(s.condition)).cast("double") for s in setups]).alias("in"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ends = standard(df, columns, label, setups)
+        counts = rows.groupBy("fold", "y").agg(*[F.sum(F.get("in", k)).alias(f"c{k}") for k in range(len(setups))]).collect()
+        mean, scale = (np.array([[e[c][j] for c in columns] for e in ends]) for j in (0, 1))
+        used = np.array([[c not in s.without for c in columns] for s in setups], float)
+        class_weight = np.ones((len(setups), folds, 2))
+        for k in range(len(setups)):
+            for f in range(folds):
+                size = [sum(r[f"c{k}"] for r in counts if r["fold"] != f and r["y"] == y) for y in (0.0, 1.0)]
+                class_weight[k, f] = [sum(size) / (2 * c) if c else 0.0 for c in size]
+
+        def add(at: np.ndarray):
+            def run(batches: Iterable[pa.RecordBatch]):
+                total = np.zeros((models, 1 + d + d * d))
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    x = batch.column(0).flatten().to_numpy().reshape(-1, n)
+                    y, own_fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                    inside = batch.column(3).flatten().to_numpy().reshape(-1, len(setups))
+                    for k in range(len(setups)):
+                        z = np.column_stack([(x - mean[k]) / scale[k] * used[k], np.ones(len(x))])
+                        for f in range(folds):
+                            m = k * folds + f
+                            w = inside[:, k] * (own_fold != f) * class_weight[k, f][y.astype(int)]
+                            s = z @ at[m]
+                            p = 1 / (1 + np.exp(-np.clip(s, -700, 700)))
+                            total[m, 0] += (w * (np.logaddexp(0, s) - y * s)).sum()
+                            total[m, 1 : d + 1] += z.T @ (w * (p - y))
+                            total[m, d + 1 :] += (z.T @ (z * (w * p * (1 - p))[:, None])).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+
+            return run
+
+        def sums(at: np.ndarray) -> np.ndarray:
+            got = rows.mapInArrow(add(at), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+            out = np.zeros(models * (1 + d + d * d))
+            for r in got:
+                out[r["at"]] = r["v"]
+            out = out.reshape(models, -1)
+            for m in range(models):
+                ridge = np.append(np.full(n, 1 / setups[m // folds].strength), 0.0)
+                out[m, 0] += 0.5 * (ridge * at[m] ** 2).sum()
+                out[m, 1 : d + 1] += ridge * at[m]
+                out[m, d + 1 :] += np.diag(ridge).ravel()
+            return out
+
+        at = _newton(sums, models, d)
+    finally:
+        rows.unpersist()
+    raw = {}
+    for m in range(models):
+        k, f = divmod(m, folds)
+        w = at[m, :n] * used[k] / scale[k]
+        raw[k, f] = dict(zip(columns, w.tolist())), float(at[m, n] - (w * mean[k]).sum())
+    return raw
+
+
+def fit(df: DataFrame, columns: Sequence[str], label: str, strength: float = 1.0) -> Weights:
+    """The weights of one regression over all rows, to be used on raw features."""
+    return learn(df, columns, label, (Setup(strength=strength),))[0, 0]
+
+
+def fold_of(id_: str, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_), F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def scored(weights: dict[tuple[int, int], Weights], setup: int, fold: Column, folds: int) -> Column:
+    """A row's score by the model of the other folds."""
+    out = None
+    for f in range(folds):
+        own = linear(*weights[setup, f])
+        out = F.when(fold == f, own) if out is None else out.when(fold == f, own)
+    return out
 
 
 def out_of_fold(df: DataFrame, columns: Sequence[str], label: str, id_: str, folds: int = 5, strength: float = 1.0) -> DataFrame:
     """(id, label, score): each row scored by a model of the other folds; folds go by a hash of the id."""
-    rows = rows_of(df, columns, label, standard(df, columns, label), id_).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds))).cache()
-    out = None
-    for k in range(folds):
-        part = decision(fit(rows.where(F.col("fold") != k), strength), rows.where(F.col("fold") == k))
-        out = part if out is None else out.union(part)
-    return out
+    fold = fold_of(id_, folds)
+    weights = learn(df, columns, label, (Setup(strength=strength),), fold, folds)
+    return df.select(F.col(id_).alias("id"), F.col(label).cast("double").alias("label"), scored(weights, 0, fold, folds).alias("score"))
 
 
-def sweep(df: DataFrame, columns: Sequence[str], label: str, id_: str, strengths: Sequence[float], folds: int = 5) -> list[tuple[float, float]]:
-    """Out-of-fold AUC of each strength."""
-    return [(c, oof_auc(out_of_fold(df, columns, label, id_, folds, c))) for c in strengths]
+def sweep(df: DataFrame, columns: Sequence[str], label: str, id_: str, strengths: Sequence[float], folds: int = 5) -> DataFrame:
+    """(config, rows, auc): the out-of-fold AUC of each strength."""
+    return compared(df, columns, label, id_, {str(c): Setup(strength=c) for c in strengths}, folds)
 
 
 def oof_auc(scores: DataFrame) -> float | None:
     """AUC of decision scores, brought into (0, 1) in order."""
-    squeezed = scores.select("label", (F.atan("score") / 3.1415926535898 + 0.5).alias("probability"))
-    return auc(squeezed, target="label").first()["auc"]
+    return auc(scores.select("label", squeezed(F.col("score")).alias("probability")), target="label").first()["auc"]
+
+
+def squeezed(score: Column) -> Column:
+    return F.atan(score) / 3.1415926535898 + 0.5
 
 
-def raw_weights(model: LogisticRegressionModel, columns: Sequence[str], ends: dict[str, tuple[float, float]]) -> tuple[dict[str, float], float]:
-    """The standardisation folded into weights and intercept, so that raw features need one product."""
-    w = {c: float(v) / ends[c][1] for c, v in zip(columns, model.coefficients.toArray())}
-    return w, float(model.intercept) - sum(w[c] * ends[c][0] for c in columns)
+def compared(df: DataFrame, columns: Sequence[str], label: str, id_: str, setups: dict[str, Setup], folds: int = 5) -> DataFrame:
+    """(config, rows, auc) of each setup by models of the other folds, all in one plan over one scan."""
+    fold = fold_of(id_, folds)
+    weights = learn(df, columns, label, list(setups.values()), fold, folds)
+    each = F.array(*[
+        F.when((F.col(label) == 1) | F.expr(s.condition), F.struct(F.lit(name).alias("config"), squeezed(scored(weights, k, fold, folds)).alias("probability")))
+        for k, (name, s) in enumerate(setups.items())
+    ])
+    long = df.select(F.col(label).cast("double").alias("label"), F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).select("label", "e.*")
+    rows = long.groupBy(F.col("config").alias("_config")).agg(F.count(F.lit(1)).alias("rows"))
+    return auc(long, ["config"], target="label").join(rows, F.col("config") == F.col("_config")).select("config", "rows", "auc")
 
 
 def linear(weights: dict[str, float], intercept: float) -> Column:
@@ -86,13 +203,7 @@ def controls(df: DataFrame, columns: Sequence[str], label: str, id_: str, config
     """(config, rows, auc): how well populations are told apart when the real one is narrowed by a condition (to
     a matched neighbourhood, say) or features are left out. A configuration is (condition on the real rows,
     columns left out)."""
-    out = []
-    for name, (condition, without) in configurations.items():
-        part = df.where((F.col(label) == 1) | F.expr(condition)).cache()
-        kept = [c for c in columns if c not in set(without)]
-        out.append((name, part.count(), oof_auc(out_of_fold(part, kept, label, id_, folds))))
-        part.unpersist()
-    return df.sparkSession.createDataFrame(out, "config string, rows bigint, auc double")
+    return compared(df, columns, label, id_, {name: Setup(condition, tuple(without)) for name, (condition, without) in configurations.items()}, folds)
 
 
 def signals(rows: DataFrame, columns: Sequence[str], score: str, rate: str, test: str, cluster: Sequence[str], samples: int = 500, seed: int = 11) -> DataFrame:

@@ -172,7 +172,7 @@ def beam_search(spark, sf_dir):
 def card_numbers(spark, sf_dir):
     """The 45 numbers of a small catalogue in all forms."""
     rows = catalogue_of(spark, sf_dir).select(
-        F.col("card"), F.when(F.col("kind") == "troop", "troop").otherwise(F.col("kind")).alias("type"), F.element_at(F.array(*[F.lit(r) for r in cards.ROLES]), (F.col("card") + 1).cast("int")).alias("role"),
+        F.col("card"), F.when(F.col("kind") == "troop", "troop").otherwise(F.col("kind")).alias("type"), F.element_at(F.array(*[F.lit(r) for r in cards.named("tag")[:10]]), (F.col("card") + 1).cast("int")).alias("role"),
         F.array(F.lit("splash")).alias("flags"), *[(F.col("card") % 6).cast("int").alias(n) for n in ("hitpoints", "damage", "dps", "speed", "range")], F.create_map(F.lit("damage"), F.lit(-1)).alias("nudges"),
         F.when(F.col("card") == 1, F.struct(F.lit(2).alias("cost"), F.array(F.lit("ability_dash")).alias("tags"))).alias("champion_ability"), F.when(F.col("card") == 2, F.struct(F.lit(3).alias("cost"), F.array(F.lit("ability_spawn")).alias("tags"))).alias("hero_ability"),
         F.when(F.col("card") == 3, F.struct(F.lit(2).alias("cycle"), F.array(F.lit("evo_buff")).alias("tags"))).alias("evolution"),
@@ -309,10 +309,13 @@ def matched_controls(spark, sf_dir):
 
 @register("operating_point")
 def operating_point(spark, sf_dir):
-    df = two_populations(spark, sf_dir).cache()
-    ends = discriminator.standard(df, PROFILE, "emitted")
-    weights, intercept = discriminator.raw_weights(discriminator.fit(discriminator.rows_of(df, PROFILE, "emitted", ends, "deck_key"), 0.25), PROFILE, ends)
-    return discriminator.operating_point(df, discriminator.linear(weights, intercept), "emitted", 0.05)
+    df = two_populations(spark, sf_dir)
+    return discriminator.operating_point(df, discriminator.linear(*discriminator.fit(df, PROFILE, "emitted", 0.25)), "emitted", 0.05)
+
+
+@register("strength_sweep")
+def strength_sweep(spark, sf_dir):
+    return discriminator.sweep(two_populations(spark, sf_dir), PROFILE, "emitted", "deck_key", (0.01, 0.1, 1.0, 10.0), 3)
 
 
 @register("distribution_signals")
