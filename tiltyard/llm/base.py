@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,43 +12,73 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own where the session names none.
-
-    Without the setting a local session gets a temporary folder and a cluster the warehouse, which all
-    executors share; a folder of one machine is never used on a cluster.
-    """
+    """The folder of ``spark.checkpoint.dir``, or the warehouse's where the session names none: both are shared by
+    all executors. No folder of one machine is ever used."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tiltyard-"))
-        return spark.sparkContext.getCheckpointDir()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tiltyard"
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tiltyard"
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, *metrics: Column) -> DataFrame | tuple[DataFrame, dict]:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and a lost
     executor costs nothing that was written. With ``metrics`` (aggregates, aliased) also their values,
-    computed while writing."""
+    computed while writing. The table goes when ``dropped`` or ``clear_written`` says so, or with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tiltyard/{uuid.uuid4().hex}"
     seen = Observation() if metrics else None
     (df.observe(seen, *metrics) if seen else df).write.parquet(path)
-    _written.append(path)
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    back.written_to = path
     return (back, seen.get) if seen else back
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and that no plan reads any more."""
+    for table in tables:
+        if table.written_to in _written:
+            _written.remove(table.written_to)
+            at, files = _path(table.sparkSession, table.written_to)
+            files.delete(at, True)
+
+
 def clear_written(spark: SparkSession) -> None:
     """Delete the tables that ``materialize`` wrote; frames that read them are dead afterwards."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        at, files = _path(spark, _written.pop())
+        files.delete(at, True)
+
+
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give what the last batch needed back to the system: a Python worker outlives its tasks, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def join_by_count(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "left", most: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key and says in ``count`` how many of ``rows``
+    (``total`` in all) have that key; rows without one get nulls, or go if ``how`` is "inner".
+
+    Keys with over a ``most``-th of all rows, of which there can't be more than ``most``, are broadcast, so that
+    their rows aren't shuffled; the others are joined on their keys, of which none is large then.
+    """
+    least = max(most, -(-total // most))
+    hot, cold = F.broadcast(table.where(F.col(count) > least)), table.where(F.col(count) <= least)
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys, how))
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
@@ -74,36 +104,51 @@ def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[low[moved]]
 
 
+EDGES = 1 << 19  # so many edges are contracted at once
+
+
 def _contracted(edges: DataFrame, final: bool) -> DataFrame:
-    """Each partition's edges (u, v) as stars; ``own`` tells whether u came as an edge's greater end."""
+    """Edges (u, v) as stars, some of a partition's at a time; ``own`` tells whether u came as an edge's greater
+    end. With ``final`` edges lie sorted by u, and all of one vertex are taken together."""
 
     def run(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if got:
-            u, v = (np.concatenate(x) for x in zip(*got))
-            a, b = local_stars(u, v)
-            own = np.isin(a, u) if final else np.ones(len(a), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(own)], ["u", "v", "own"])
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            u, v = np.concatenate([u, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
+            while len(u) > EDGES and (cut := int(np.searchsorted(u, u[EDGES])) if final else EDGES):
+                yield _stars(u[:cut], v[:cut], final)
+                u, v = u[cut:], v[cut:]
+        if len(u):
+            yield _stars(u, v, final)
+        trim()
 
     return edges.select("u", "v").mapInArrow(run, "u long, v long, own boolean")
 
 
+def _stars(u: np.ndarray, v: np.ndarray, final: bool) -> pa.RecordBatch:
+    a, b = local_stars(u, v)
+    own = np.isin(a, u) if final else np.ones(len(a), bool)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(own)], ["u", "v", "own"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, root), root the smallest id reachable.
 
-    Each partition's edges are contracted to stars, so that a vertex is then the greater end of no more edges
-    than there are partitions. A round deals edges by their greater end, contracts them again, and replaces an
+    Edges are contracted to stars within partitions, so that a vertex is then the greater end of no more edges
+    than there were contractions. A round deals edges by their greater end, contracts them again, and replaces an
     edge's lesser end by that one's own root, with a join. A vertex with any number of links so is nowhere one
     task's list. It ends when each vertex has one edge, to a vertex that has none.
-    Rounds are written to the shared folder. Vertices without edges have no row.
+    Rounds are written to the shared folder, each in place of the one before. Vertices without edges have no row.
     """
-    rest = _contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False)
+    rest, old = _contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False), None
     while True:
-        stars = _contracted(rest.repartition("u"), True)
+        stars = _contracted(rest.repartition("u").sortWithinPartitions("u"), True)
         stars, seen = materialize(stars, F.count(F.when(~F.col("own"), 1)).alias("foreign"))
         up = stars.select(F.col("u").alias("p_u"), F.col("v").alias("p_v"))
         jumped = stars.join(up, stars["v"] == up["p_u"], "left").select("u", F.coalesce("p_v", "v").alias("v"), F.col("p_v").isNotNull().alias("moved"))
         rest, then = materialize(jumped, F.count(F.when(F.col("moved"), 1)).alias("moved"))
+        dropped(stars, *([] if old is None else [old]))
+        old = rest
         if not seen["foreign"] and not then["moved"]:
             break
     return rest.select(F.col("u").alias("id"), F.col("v").alias("root")).union(rest.select("v", "v").distinct())
@@ -194,7 +239,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(column: pa.Array, lower: bool = False, limit: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, lower: bool = False, limit: int = 1 << 19) -> Iterator[Chunk]:
     """Whole texts, about ``limit`` bytes at a time (one text, if it is longer), so that the arrays made
     from them stay small whatever a batch holds."""
     data, off = text_bytes(column)
@@ -210,7 +255,8 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session's Arrow batches made no larger than BATCH_BYTES, whatever rows hold."""
+    """``df``, its session's Arrow batches made no larger than BATCH_BYTES, whatever rows hold: the setting is read
+    when a plan runs, so it is the session's from here on."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     size, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", df.sparkSession.conf.get(name).lower()).groups()
     if int(size) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0) > BATCH_BYTES:
@@ -232,6 +278,8 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
                 out = fn(batch)
                 for part in [out] if isinstance(out, dict) else out:
                     yield pa.RecordBatch.from_arrays([as_arrow(part[f.name], f.type) for f in to], schema=to)
+                out = part = None
+                trim()
 
     return small_batches(df).mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltyard.llm.base import as_arrow, lists, map_arrow, materialize
-from tiltyard.llm.tokens import encoder, tokenizer_file
+from tiltyard.llm.tokens import TokenizerFile
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -85,10 +85,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     fewest windows that hold it. Each row of ``docs`` is a document, so repeated rows and null ids are packed
     each time they occur; other columns are ignored; an empty table gives no row.
     """
-    content = tokenizer_file(docs, tokenizer)
+    file = TokenizerFile(docs, tokenizer)
 
     def encode(batch: pa.RecordBatch) -> dict:
-        of, rows, kept = encoder(content.value), [], []
+        of, rows, kept = file.encoder(), [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
             own = np.append(of.ids(text) if text else np.zeros(0, np.uint32), np.uint32(end_id)).astype("<u4")
             for start, size in pieces(len(own), capacity, filler):

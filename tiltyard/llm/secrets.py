@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltyard.llm.automaton import Automaton, backwards, parse
-from tiltyard.llm.base import as_arrow, map_arrow, small_batches, text_bytes
+from tiltyard.llm.base import as_arrow, map_arrow, small_batches, text_bytes, trim
 
 
 @dataclass(frozen=True)
@@ -186,6 +186,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
                         texts[i] = replaced(texts[i], spans, mark)
                 batch = batch.set_column(at, batch.schema.field(at), as_arrow(texts, batch.schema.field(at).type))
             yield batch
+            trim()
 
     out = small_batches(docs).mapInArrow(clean, kinds)
     if types.get("n_chars") in ("bigint", "int"):

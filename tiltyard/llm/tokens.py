@@ -30,35 +30,25 @@ class Encoder:
 
     A byte-level BPE whose ids are in merge order has the same ids under ``tiktoken``, which is several
     times as fast; any other file, and any text that holds one of the file's added tokens, goes through
-    ``tokenizers`` itself.
+    ``tokenizers`` itself, which isn't built before it is needed. ``plan`` is what a driver has read of the file.
     """
 
-    def __init__(self, content: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_str(content)
-        told = json.loads(content)
-        self.added = [t["content"] for t in told.get("added_tokens") or []]
-        self.fast = self._fast(told)
-
-    def _fast(self, told: dict):
-        model, pre = told["model"], told.get("pre_tokenizer") or {}
-        plain = model.get("type") == "BPE" and not told.get("normalizer") and not model.get("dropout") and not model.get("byte_fallback")
-        if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-            return None
-        import tiktoken
-
-        of = byte_of_char()
-        ids = {t: i for t, i in model["vocab"].items() if t not in self.added}
-        if any(c not in of for t in ids for c in t):
-            return None
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        at = [ids.get(a + b, -1) for a, b in merges]
-        if at != sorted(set(at)) or at[:1] == [-1] or sum(len(t) == 1 for t in ids) != 256 or len(ids) != 256 + len(at):
-            return None
-        ranks = {bytes(of[c] for c in t): i for t, i in ids.items()}
-        return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, plan: dict, content):
+        self.added, self.content, self._slow = plan["added"], content, None
+        self.fast = None
+        if plan["ranks"] is not None:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks={t: i for t, i in zip(plan["ranks"], plan["ids"].tolist())}, special_tokens={})
+
+    @property
+    def slow(self):
+        if self._slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_str(self.content())
+        return self._slow
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(t in text for t in self.added):
@@ -66,29 +56,54 @@ class Encoder:
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
 
+def planned(content: str) -> dict:
+    """What an ``Encoder`` needs of a file: its added tokens and, where ``tiktoken`` gives the same ids, the tokens'
+    bytes and ids (else None)."""
+    told = json.loads(content)
+    added = [t["content"] for t in told.get("added_tokens") or []]
+    model, pre = told["model"], told.get("pre_tokenizer") or {}
+    plan = {"key": hashlib.sha256(content.encode()).hexdigest(), "added": added, "ranks": None, "ids": None}
+    plain = model.get("type") == "BPE" and not told.get("normalizer") and not model.get("dropout") and not model.get("byte_fallback")
+    if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return plan
+    of = byte_of_char()
+    ids = {t: i for t, i in model["vocab"].items() if t not in added}
+    if any(c not in of for t in ids for c in t):
+        return plan
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    at = [ids.get(a + b, -1) for a, b in merges]
+    if at != sorted(set(at)) or at[:1] == [-1] or sum(len(t) == 1 for t in ids) != 256 or len(ids) != 256 + len(at):
+        return plan
+    return plan | {"ranks": [bytes(of[c] for c in t) for t in ids], "ids": np.array(list(ids.values()), np.uint32)}
+
+
 _held: dict[str, Encoder] = {}
 
 
-def encoder(content: str) -> Encoder:
-    """Built once a process."""
-    key = hashlib.sha256(content.encode()).hexdigest()
-    if key not in _held:
-        _held[key] = Encoder(content)
-    return _held[key]
+class TokenizerFile:
+    """A tokenizer for executors: a short plan of the file, sent once to each, and the file's content, which only
+    those fetch that need it."""
 
+    def __init__(self, df: DataFrame, path: str):
+        with open(path, encoding="utf-8") as f:
+            content = f.read()
+        plan = planned(content)
+        self.key = plan["key"]
+        self.plan, self.content = df.sparkSession.sparkContext.broadcast(plan), df.sparkSession.sparkContext.broadcast(content)
 
-def tokenizer_file(df: DataFrame, path: str):
-    """The file's content, sent to every executor once."""
-    with open(path, encoding="utf-8") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+    def encoder(self) -> Encoder:
+        """Built once a process."""
+        if self.key not in _held:
+            _held[self.key] = Encoder(self.plan.value, lambda: self.content.value)
+        return _held[self.key]
 
 
 def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Rows (doc_id, n_tokens): each whole text's encoded length; a null or empty text has 0."""
-    content = tokenizer_file(docs, tokenizer)
+    file = TokenizerFile(docs, tokenizer)
 
     def count(batch: pa.RecordBatch) -> dict:
-        of = encoder(content.value)
+        of = file.encoder()
         return {"doc_id": batch.column(0), "n_tokens": [len(of.ids(t)) if t else 0 for t in batch.column(1).to_pylist()]}
 
     return map_arrow(docs.select("doc_id", "text"), count, "doc_id long, n_tokens long")
