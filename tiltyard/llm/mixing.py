@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiltyard.llm.base import materialize
+
 #: A Poisson mean above this is drawn as a sum of equal parts, each with its own hash.
 PART = 500.0
+#: Rates are broadcast where they are no more numbers than this (8 MB); else sources are joined, dealt to SPREAD places.
+NUMBERS, SPREAD = 1 << 20, 16
 
 
 def uniform(seed: str, *of: Column) -> Column:
@@ -49,18 +53,26 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
     The draw inverts the distribution at a hash of the seed and doc_id, so it is the same on every run and
     wherever a row lies; ``copy`` numbers a row's copies from 1, and ``key`` is what the rows were shuffled by.
-    All columns stay (other than ones of these two names). A null source is a source of its own, a null or
-    empty text weighs one byte, rows with one id (a null one too) get the same draw, and an empty table
-    gives none.
+    All columns stay; those that already have one of these two names take part no more (give other names to keep
+    them). A null source is a source of its own, a null or empty text weighs one byte, rows with one id (a null one
+    too) get the same draw, a draw that meets a step of the distribution (a tie) goes above it, and an empty table
+    gives none. Rows move once, all their columns with them, to where their hash puts them.
     """
     docs = docs.drop(copy, key)
-    own = {n: f"{n}_{uuid.uuid4().hex}" for n in ("source", "parts", "cdf", "u", "n")}
-    rate = rates(docs.select("source", "text"), weights, temperature, epochs).select(*[F.col(n).alias(own[n]) for n in ("source", "parts", "cdf")])
+    own = {n: f"{n}_{uuid.uuid4().hex}" for n in ("source", "parts", "cdf", "u", "n", "place")}
+    rate, seen = materialize(rates(docs.select("source", "text"), weights, temperature, epochs), F.coalesce(F.sum(F.size("cdf")), F.lit(0)).alias("numbers"))
+    rate = rate.select(*[F.col(n).alias(own[n]) for n in ("source", "parts", "cdf")])
     id_ = F.col("doc_id")
+    same = docs["source"].eqNullSafe(rate[own["source"]])
+    if seen["numbers"] <= NUMBERS:
+        out = docs.join(F.broadcast(rate), same)
+    else:  # a source may hold a third of all rows
+        place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.lit(SPREAD))
+        rate = rate.withColumn(own["place"], F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")))
+        out = docs.join(rate, same & (place == rate[own["place"]]))
     draws = F.transform(F.sequence(F.lit(1), F.col(own["parts"])), lambda j: uniform(seed, id_, j))
     count = F.aggregate(own["u"], F.lit(0), lambda acc, u: acc + F.size(F.filter(own["cdf"], lambda c: c <= u)))
-    out = docs.join(rate, docs["source"].eqNullSafe(rate[own["source"]])).withColumn(own["u"], draws)
-    out = out.withColumn(own["n"], count).where(F.col(own["n"]) > 0)
+    out = out.withColumn(own["u"], draws).withColumn(own["n"], count).where(F.col(own["n"]) > 0)
     out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own["n"])))).drop(*own.values())
     said = F.concat_ws(":", F.lit(seed), F.coalesce(id_.cast("string"), F.lit("null")), F.col(copy).cast("string"))
     out = out.withColumn(key, F.md5(said.cast("binary")))
@@ -73,11 +85,11 @@ def mix_sql(temperature: float = 0.7, epochs: float = 1.0, seed: str = "mix") ->
     with size as (select source, cast(sum(coalesce(strlen(text), 0) + 1) as double) bytes from documents group by source),
     rate as (select source, pow(bytes, {temperature}) / (select sum(pow(bytes, {temperature})) from size)
                     * (select sum(bytes) from size) * {epochs} / bytes as mean from size),
-    drawn as (select d.doc_id, d.source, r.mean,
+    drawn as (select d.doc_id, r.mean,
                      cast(('0x' || substr(md5('{seed}:' || d.doc_id || ':1'), 1, 13)) as bigint) / 4503599627370496.0::double as u
               from documents d join rate r on d.source is not distinct from r.source),
-    counted as (select doc_id, source, len(list_filter(range(0, cast(ceil(mean + 10 * sqrt(mean) + 20) as bigint) + 1),
+    counted as (select doc_id, len(list_filter(range(0, cast(ceil(mean + 10 * sqrt(mean) + 20) as bigint) + 1),
                     lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(i * ln(mean) - mean - lgamma(i + 1.0)))) <= u)) as n from drawn)
-    select doc_id, source, cast(copy as int) as copy, md5('{seed}:' || doc_id || ':' || copy) as shuffle_key
-    from counted, unnest(range(1, n + 1)) as t(copy)
+    select d.*, cast(copy as int) as copy, md5('{seed}:' || d.doc_id || ':' || copy) as shuffle_key
+    from counted c join documents d using (doc_id), unnest(range(1, n + 1)) as t(copy)
     """
