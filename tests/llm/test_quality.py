@@ -70,3 +70,31 @@ def test_list_is_a_spark_condition(spark, docs, prose):
     plan = quality.quality_rules(docs([prose(1, 30)]), None, [[("symbol_rate", True, 0.1), ("n_words", False, 50.0)], [("mark_rate", True, 0.2)]])
     said = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in said
+
+
+def test_registered_query(spark, small):
+    """Base counts and base_failed by definition; kept by the learned list, read as plain conditions."""
+    from tiltyard.llm.queries import queries
+
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rules = quality.learn_rules(docs, labels)
+    assert rules
+    got = queries()["op9_quality_rules"](spark, small).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        counts = brute(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
+        assert r.base_failed == (counts[0] < 20 or 100 * counts[4] > 30 * counts[0])
+        value = {k: r[a] / (max(1, r[b]) if b else 1) for k, (a, b) in quality.RATES.items()}
+        first = next((i for i, rule in enumerate(rules, 1) if all((value[n] > t) if above else (value[n] <= t) for n, above, t in rule)), 0)
+        assert r.rule == first and r.kept == (not r.base_failed and first == 0)
+
+
+def test_repeated_ids_bound_what_teaches(spark, docs, prose, monkeypatch):
+    """Labels that meet many documents each bring no more of them to the driver than the bound."""
+    seen = []
+    monkeypatch.setattr(quality, "covering", lambda x, bad, precision: seen.append(len(bad)) or [])
+    df = docs([prose(k, 20) for k in range(400)], [k % 20 for k in range(400)])
+    quality.learn_rules(df, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"), rows=90)
+    assert seen == [90]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.llm.base import Chunk, as_arrow, chunks, mix, numbered, small_batches, span_hashes
+from tiltyard.llm.base import Chunk, as_arrow, chunks, mix, numbered, small_batches, span_hashes, trim
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_echoes")
 #: At most so many labelled rows, those with the least hash of their id, teach the list.
@@ -194,6 +194,7 @@ def with_counts(docs: DataFrame, name: str) -> DataFrame:
             values = counts_of(batch.column(batch.schema.get_field_index("text")))
             made = pa.StructArray.from_arrays([as_arrow(values[k], pa.int64()) for k in COUNTS], list(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+            trim()
 
     return small_batches(docs).mapInArrow(run, schema)
 
@@ -201,13 +202,16 @@ def with_counts(docs: DataFrame, name: str) -> DataFrame:
 def learn_rules(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, precision: float = 0.97) -> list[list[Condition]]:
     """The decision list for ``quality`` 0, learned from at most ``rows`` labelled documents.
 
-    Labels that are null, or of no document, teach nothing; without both qualities the list is empty.
+    Labels that are null, or of no document, teach nothing; without both qualities the list is empty. Where ids
+    repeat, labels meet more documents than there are labels; the bound is on the documents, those with the least
+    hash of their id, and ties among them go by their statistics.
     """
     chosen = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    seen = with_counts(joined, "_counts").select("doc_id", "quality", "_counts.*").orderBy("doc_id", "quality", *COUNTS)
-    got = seen.toPandas()
+    seen = with_counts(joined, "_counts").select("doc_id", "quality", "_counts.*")
+    # A limit under an order keeps each partition's least rows only, so the statistics are made once.
+    got = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *COUNTS).limit(rows).toPandas()
     if got["quality"].nunique() < 2:
         return []
     order = np.argsort(mix(got["doc_id"].to_numpy().astype(np.uint64)), kind="stable")
