@@ -68,6 +68,7 @@ def test_planted_copies(docs, prose):
 def test_chains_and_many_blocks(docs, prose, monkeypatch):
     """Blocks of a few rows, so that large groups and buckets take the ways of many blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "SKETCHES", 8)
     rnd = random.Random(8)
     start, texts = prose(5, 120), []
     at = start
@@ -90,6 +91,28 @@ def test_odd_rows(docs, odd_texts):
     assert neardup.near_duplicates(with_null.where("false")).count() == 0
 
 
+def test_blocks_by_size(docs, prose, monkeypatch):
+    """Long texts fill a block with few of them."""
+    monkeypatch.setattr(neardup, "ELEMENTS", 20_000)
+    rnd = random.Random(4)
+    start = prose(11, 3000)
+    texts = [edited(start, rnd, rnd.choice([30, 120, 160])) for _ in range(60)] + [prose(50 + k, 400) for k in range(10)]
+    ids = rnd.sample(range(500), len(texts))
+    same_as_brute(docs(texts, ids), ids, texts)
+
+
+def test_one_row_of_each_group(docs, prose):
+    """Null ids, ids of two texts and repeated rows: one row of each group stays, whatever its id."""
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    rows = [(None, a), (None, a + " x"), (None, b), (7, b), (7, b), (7, c), (3, c + " y"), (7, c), (9, None), (9, None), (9, "")]
+    df = docs([t for _, t in rows], [i for i, _ in rows], extra=True).selectExpr("*", "1 as of_t1", "2 as t1", "3 as first")
+    out = neardup.keep_first(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted((x for x in got if x[0] is not None), key=repr) == sorted([(7, b), (3, c + " y"), (9, None), (9, None), (9, "")], key=repr)
+    assert [t in (a, a + " x") for i, t in got if i is None] == [True]
+
+
 def test_keep_first(docs, prose):
     a, b = prose(1, 50), prose(2, 50)
     df = docs([a, b, a, a + " x", None], [4, 3, 2, 9, 1], extra=True)
