@@ -101,7 +101,7 @@ def test_model_scores_sum_to_one(docs, spark):
     """Over one-word texts: all known words, one that training never saw, and the empty text's complement."""
     rows = [(i, t) for i, t in enumerate(["a a b", "a c", "b b", "c a b", "", "a", "b", "c", "zz"] * 4)]
     got = {}
-    for r in hmm.score(docs([t for _, t in rows], [i for i, _ in rows]), states=2, near=2, emitted=1).collect():
+    for r in hmm.score(docs([t for _, t in rows], [i for i, _ in rows]), states=2, near=2, lead=1).collect():
         got.setdefault(rows[r.doc_id][1], set()).add(round(r.score, 9))
     assert all(len(v) == 1 for v in got.values())
     one = {t: 10 ** next(iter(v)) for t, v in got.items()}
@@ -111,8 +111,45 @@ def test_model_scores_sum_to_one(docs, spark):
 def test_vocabulary_limits_change_no_counts(docs, prose):
     rows = [(i, prose(i % 5, 30 + i)) for i in range(40)]
     df = docs([t for _, t in rows], [i for i, _ in rows])
-    for near, emitted in ((1 << 18, 1 << 15), (50, 10), (3, 3), (0, 0)):
-        same_base(hmm.score(df, states=3, rounds=1, near=near, emitted=emitted).collect(), rows)
+    for near, lead in ((1 << 18, 1 << 15), (50, 10), (3, 3), (0, 0)):
+        same_base(hmm.score(df, states=3, rounds=1, near=near, lead=lead).collect(), rows)
+
+
+def test_every_word_has_its_own_emissions(docs, prose, monkeypatch):
+    """Few words are near and fewer lead: the counts of all are still those of the recursion over whole texts, and
+    each state's shares sum to one."""
+    monkeypatch.setattr(hmm, "FAR_HELD", 40)
+    texts = [prose(k % 6, 60) for k in range(40)]
+    rows = docs(texts, [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2][:40])
+    counts = hmm.word_counts(rows).cache()
+    v = hmm.vocabulary(counts, 40 * 60, counts.count(), 40, near=20, lead=5)
+    assert 0 < v.near <= 20 and v.lead <= 5
+    coded = hmm.encoded(rows, rows.sparkSession.sparkContext.broadcast(v)).cache()
+    m = hmm.first_model(np.zeros((0, 0)), v.plain(), 3)
+    found = hmm.gathered(coded, m, v).cache()
+    number: dict = {}
+    seqs = [np.array([number.setdefault(w, len(number)) for w in [*t.split(), None]]) for t in texts]
+    own = {r["hash"]: r["n"] for r in counts.collect()}
+    from tiltyard.llm.base import Chunk
+
+    def hashed(w):
+        raw = np.frombuffer(w.lower().encode(), np.uint8)
+        return int(Chunk(0, raw, np.array([0, len(raw)]), True).hashes().view(np.int64)[0])
+
+    lead = {h: i for i, h in enumerate(sorted(own, key=lambda h: (-own[h], h))[: v.lead])}
+    emit = {w: v.lead + 1 if w is None else lead.get(hashed(w), v.lead) for w in number}
+    wide = hmm.Model(m.start, m.move, np.array([m.emit[emit[w]] for w in number]))
+    want = whole_counts(seqs, wide)
+    got = {r["hash"]: r for r in found.where("hash is not null").groupBy("hash").sum("c0", "c1", "c2").collect()}
+    for w, i in number.items():
+        if w is not None:
+            assert [got[hashed(w)][f"sum(c{k})"] for k in range(3)] == pytest.approx(list(want["emit"][i]), rel=1e-4)
+    _, emissions, table = hmm.all_words(counts, found, v, 3)
+    t = table.toPandas()
+    shares = emissions.of(t["n"].to_numpy(), t["code"].to_numpy())
+    rest = v.total - (t["n"][t["n"] >= 2] + 1).sum() - v.end_weight - (t["n"][t["n"] < 2] + 1).sum()
+    assert shares.sum(axis=0) + emissions.end + emissions.rest * rest == pytest.approx(np.ones(3))
+    assert len({tuple(x) for x in t["code"][t["n"] >= 2].to_numpy().reshape(-1, 1)}) > v.near
 
 
 def test_odd_rows(docs, odd_texts):
