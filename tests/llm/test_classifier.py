@@ -31,11 +31,10 @@ def test_held_out_accuracy(spark, docs, prose):
 def test_only_texts_matter(spark, docs, prose):
     texts = [prose(i, 40) for i in range(60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)], "doc_id long, quality int")
-    one = {r.doc_id: r.score for r in classifier.classify(docs(texts), labels).collect()}
-    two = classifier.classify(docs(texts + texts, [*range(60), *range(1000, 1060)], sources=["other"] * 120), labels)
-    for r in two.collect():
-        if r.doc_id >= 1000:
-            assert abs(r.score - one[r.doc_id - 1000]) < 1e-6
+    # All of a run's texts shape its word vectors, so equal texts of one run are held against each other.
+    df = docs(texts + texts, [*range(60), *range(1000, 1060)], sources=[*["s"] * 60, *["other"] * 60])
+    got = {r.doc_id: r.score for r in classifier.classify(df, labels).collect()}
+    assert all(abs(got[i] - got[i + 1000]) < 1e-6 for i in range(60))
 
 
 def test_odd_rows(spark, docs, odd_texts):
@@ -50,6 +49,74 @@ def test_odd_rows(spark, docs, odd_texts):
     assert classifier.classify(df.where("false"), both).count() == 0
 
 
+def brute_context(texts):
+    """Context vectors by definition, word by word."""
+    from tiltyard.llm.base import Chunk
+
+    def bucket(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(Chunk(0, raw, np.array([0, len(raw)]), False).hashes()[0] % np.uint64(classifier.BUCKETS))
+
+    total, n = np.zeros((classifier.BUCKETS, classifier.SIZE)), np.zeros(classifier.BUCKETS)
+    index, of_byte = classifier.index_vectors(classifier.BUCKETS, 21), classifier.index_vectors(256, 22)
+    for t in texts:
+        b = [bucket(w) for w in t.split()]
+        own = [index[x] + of_byte[list(w.encode())].mean(axis=0) for x, w in zip(b, t.split())]
+        for i, x in enumerate(b):
+            n[x] += 1
+            for j in range(max(0, i - 2), min(len(b), i + 3)):
+                if j != i:
+                    total[x] += own[j]
+    total -= n[:, None] * total.sum(axis=0) / n.sum()
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), bucket
+
+
+def test_context_vectors_and_pooling(docs, prose):
+    import pyarrow as pa
+
+    texts = [prose(k, 25) for k in range(30)]
+    want, bucket = brute_context(texts)
+    got = classifier.context_vectors(docs([*texts, None, ""]))
+    assert np.abs(got - want).max() < 1e-4
+    x = classifier.pooled(pa.array([texts[3], None, "one"]), got)
+    v = want[[bucket(w) for w in texts[3].split()]]
+    assert np.abs(x[0, :64] - v.mean(axis=0)).max() < 1e-4 and np.abs(x[0, 64:128] - v.std(axis=0)).max() < 1e-3
+    assert abs(x[0, 128] - (v[1:] * v[:-1]).sum() / len(v)) < 1e-4 and abs(x[0, 129] - np.linalg.norm(v.mean(axis=0))) < 1e-4
+    assert (x[1] == 0).all() and x[2, -2] > 0
+
+
+def test_query(spark, small):
+    """The registered query: the split, the law of ``predicted``, and scores of the network over brute features."""
+    import pyarrow as pa
+
+    from tiltyard.llm.queries import queries
+
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.quality is not None}
+    got = {r.doc_id: r for r in queries()["op3_quality_score"](spark, small).collect()}
+    assert set(got) == {r.doc_id for r in rows}
+    assert all(r.held_out == held(i) and r.predicted == int(r.score >= 0.7) for i, r in got.items())
+    vectors = brute_context([r.text for r in rows if r.text and not held(r.doc_id)])[0].astype(np.float32)
+    taught = [r for r in rows if r.doc_id in labels and not held(r.doc_id)]
+    taught.sort(key=lambda r: int(classifier.mix(np.array([r.doc_id], np.uint64))[0]))
+    net = classifier.train(classifier.pooled(pa.array([r.text for r in taught]), vectors).astype(float), np.array([labels[r.doc_id] == 1 for r in taught]))
+    want = net.probability(classifier.pooled(pa.array([r.text for r in rows]), vectors))
+    assert np.abs(want - [got[r.doc_id].score for r in rows]).max() < 0.05
+
+
+def test_repeated_ids_bound_what_teaches(spark, docs, prose):
+    """Labels that meet many documents each teach no more of them than the bound."""
+    df = docs([prose(k, 20) + " &&&" * (k % 2) for k in range(400)], [k % 20 for k in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = []
+    real, classifier.train = classifier.train, lambda x, y: seen.append(len(y)) or real(x, y)
+    try:
+        rows = classifier.classify(df, labels, rows=90).collect()
+    finally:
+        classifier.train = real
+    assert len(rows) == 400 and seen == [90]
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))

@@ -9,25 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.llm.base import Chunk, chunks, lists, map_arrow, materialize, mix, numbered
+from tiltyard.llm.base import Chunk, chunks, lists, map_arrow, mix, numbered
 from tiltyard.llm.hmm import summed
-from tiltyard.llm.quality import repeated_in
 
 #: The network learns from at most so many labelled documents, those with the least hash of their id.
 LABELLED_ROWS = 20_000
-LEARNING_TASKS = 24
 SIZE = 64  # of a word vector and of an index vector
 BUCKETS = 1 << 14  # words share vectors by hash
-FORMS = 1 << 9  # what a word looks like: which kinds of characters, and whether it repeats
 NEAR = 2  # a word's company: so many words on either side
 HIDDEN = 32
 CUT = 0.7
 
-_KINDS = [range(65, 91), range(97, 123), range(48, 58), b"#*$%&|<>", b"!?", b".,;:'\"()-", range(128, 256)]
-_KIND = np.zeros(256, np.uint16)
-for _i, _bytes in enumerate(_KINDS):
-    _KIND[list(_bytes)] |= 1 << _i
-
 
 def held_out(c: Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -41,65 +33,87 @@ def index_vectors(n: int, seed: int, size: int = SIZE, filled: int = 6) -> np.nd
     return out
 
 
-_WORD_INDEX, _FORM_INDEX = index_vectors(BUCKETS, 21), index_vectors(FORMS, 22)
+_WORD_INDEX, _BYTE_INDEX = index_vectors(BUCKETS, 21), index_vectors(256, 22)
+
+
+def buckets(part: Chunk) -> np.ndarray:
+    return (part.hashes() % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def words_and_forms(part: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's bucket and form."""
-    hashes = part.hashes()
+def word_index(part: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index vectors of a chunk's different words, each word's own and its bytes' mean; the bucket of each; and
+    which of them every word is."""
+    hashes, first, which = np.unique(part.hashes(), return_index=True, return_inverse=True)
     bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
-    form = np.bitwise_or.reduceat(_KIND[part.data], np.column_stack([part.start, part.end]).ravel().clip(max=max(0, len(part.data) - 1)))[::2].astype(np.int64) if len(part.start) else np.zeros(0, np.int64)
-    echo = np.zeros(len(hashes), bool)
-    echo[1:] = (hashes[1:] == hashes[:-1]) & (part.doc[1:] == part.doc[:-1])
-    return bucket, form | (echo * 128) | (repeated_in(part, hashes) * 256)
+    start, size = part.start[first], part.end[first] - part.start[first]
+    before = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(start - before, size)
+    own = np.add.reduceat(_BYTE_INDEX[part.data[at]], before, axis=0) / size[:, None].astype(np.float32) if len(hashes) else np.zeros((0, SIZE), np.float32)
+    return own + _WORD_INDEX[bucket], bucket, which
 
 
 def context_vectors(texts: DataFrame) -> np.ndarray:
-    """Random indexing: a word's vector is the sum of the index vectors of the words and forms near it."""
+    """Random indexing: a word's vector is the sum of the index vectors of the words near it, wherever it occurs,
+    less what as many words' company is in the mean, brought to length one."""
 
     def count(batches):
-        total = np.zeros((BUCKETS, SIZE))
+        total = np.zeros((BUCKETS, SIZE + 1))  # and how often a word occurs
         for batch in batches:
-            for part in chunks(batch.column(0)):
-                bucket, form = words_and_forms(part)
-                own = _WORD_INDEX[bucket] + _FORM_INDEX[form]
-                near = np.zeros_like(own)
-                for k in range(1, NEAR + 1):
-                    same = (part.doc[k:] == part.doc[:-k])[:, None]
-                    near[k:] += own[:-k] * same
-                    near[:-k] += own[k:] * same
-                if len(bucket):
-                    order = np.argsort(bucket, kind="stable")
-                    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                    total[bucket[order][first]] += np.add.reduceat(near[order], first, axis=0)
+            for part in chunks(batch.column(0), limit=1 << 17):
+                if not len(part.start):
+                    continue
+                index, bucket, which = word_index(part)
+                # Texts stand apart by as many empty places as a word's company reaches.
+                place = np.arange(len(which)) + NEAR * part.doc
+                line = np.full(len(which) + NEAR * (part.n + 1) + NEAR, len(index))
+                line[place + NEAR] = which
+                own = np.concatenate([index, np.zeros((1, SIZE), np.float32)])[line]
+                size = len(line) - 2 * NEAR
+                near = np.zeros((size, SIZE + 1), np.float32)
+                for k in range(2 * NEAR + 1):
+                    if k != NEAR:
+                        near[:, :SIZE] += own[k : k + size]
+                near[:, SIZE] = 1
+                of = bucket[which]
+                order = np.argsort(of, kind="stable")
+                first = np.flatnonzero(np.diff(of[order], prepend=-1))
+                total[of[order][first]] += np.add.reduceat(near[place[order]], first, axis=0)
         for b in range(0, BUCKETS, 64):
             yield b, total[b : b + 64].ravel()
 
     got = summed(texts.select("text"), count)
-    total = np.zeros((BUCKETS, SIZE))
+    total = np.zeros((BUCKETS, SIZE + 1))
     for b, values in got.items():
-        total[b : b + 64] = values.reshape(-1, SIZE)
-    total = total - total.mean(axis=0)
-    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    return (total + 0.5 * _WORD_INDEX / np.sqrt(6)).astype(np.float32)
+        total[b : b + 64] = values.reshape(-1, SIZE + 1)
+    company, n = total[:, :SIZE], total[:, SIZE:]
+    company = company - n * (company.sum(axis=0) / max(1.0, n.sum()))
+    return (company / np.maximum(np.linalg.norm(company, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+FEATURES = 2 * SIZE + 4
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """A document's features: its words' mean vector, its forms' mean index vector, and its length."""
+    """A document's features: its word vectors' mean and deviation, how alike neighbours are, the mean's length, and
+    the numbers of words and bytes."""
     out = []
-    for part in chunks(column, limit=1 << 19):
-        bucket, form = words_and_forms(part)
-        values = np.zeros((part.n, 2 * SIZE + 2), np.float32)
+    for part in chunks(column, limit=1 << 18):
+        word = vectors[buckets(part)]
+        values = np.zeros((part.n, FEATURES), np.float32)
         some = part.n_words > 0
         if some.any():
-            first = part.bounds[:-1][some]
-            n = part.n_words[some][:, None]
-            values[some, :SIZE] = np.add.reduceat(vectors[bucket], first, axis=0) / n
-            values[some, SIZE : 2 * SIZE] = np.add.reduceat(_FORM_INDEX[form], first, axis=0) / n
+            first, n = part.bounds[:-1][some], part.n_words[some][:, None]
+            mean = np.add.reduceat(word, first, axis=0) / n
+            alike = np.zeros(len(word), np.float32)
+            alike[1:] = np.einsum("ij,ij->i", word[1:], word[:-1]) * (part.doc[1:] == part.doc[:-1])
+            values[some, :SIZE] = mean
+            values[some, SIZE : 2 * SIZE] = np.sqrt(np.maximum(np.add.reduceat(word * word, first, axis=0) / n - mean * mean, 0))
+            values[some, -4] = np.add.reduceat(alike, first) / n[:, 0]
+            values[some, -3] = np.linalg.norm(mean, axis=1)
         values[:, -2] = np.log1p(part.n_words) / 5
         values[:, -1] = np.log1p(np.diff(part.offsets)) / 8
         out.append(values)
-    return np.concatenate(out) if out else np.zeros((0, 2 * SIZE + 2), np.float32)
+    return np.concatenate(out) if out else np.zeros((0, FEATURES), np.float32)
 
 
 @dataclass
@@ -152,24 +166,27 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 40, seed: int = 11) -> Net
 def classify(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one a row of ``docs``: how likely ``quality`` is 1.
 
-    Only texts enter a score. Word vectors and network learn from at most ``rows`` labelled documents whose
-    crc32(doc_id as text) mod 4 is not 2. A null or empty text has no words, its mean vectors are zero and it
-    is scored as such. Without labels, or with one class alone, every score is the classes' smoothed share.
-    Null ids count as the empty text in the split and repeated rows each are scored; other columns are
-    ignored; an empty table gives no row.
+    Only texts enter a score. Word vectors come from all documents whose crc32(doc_id as text) mod 4 is not 2; the
+    network learns from at most ``rows`` labelled ones of these, where ids repeat and labels meet more documents too.
+    A null or empty text has no words, its pooled vectors are zero and it is scored as such. Without labels, or
+    with one class alone, every score is the classes' smoothed share. Null ids count as the empty text in the split
+    and repeated rows each are scored; a score of just 0.7 is predicted 1; ids of one hash (ties) are ordered by id
+    and features; other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
-    chosen = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
+    learns = ~held_out(F.col("doc_id"))
+    vectors = spark.sparkContext.broadcast(context_vectors(docs.where(learns)))
+    chosen = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & learns)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    # At most ``rows`` labels, so a fixed number of tasks holds their texts, however many partitions all have.
-    known = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(LEARNING_TASKS))
-    vectors = spark.sparkContext.broadcast(context_vectors(known))
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batch: pa.RecordBatch) -> dict:
         x = pooled(batch.column(2), vectors.value)
         return {"doc_id": batch.column(0), "quality": batch.column(1), "x": lists(x.ravel(), np.full(len(x), x.shape[1]), pa.float32())}
 
-    got = map_arrow(known.select("doc_id", "quality", "text"), features, "doc_id long, quality long, x array<float>").toPandas()
+    seen = map_arrow(known.select("doc_id", "quality", "text"), features, "doc_id long, quality long, x array<float>")
+    # A limit under an order keeps each partition's least rows only: what comes to the driver is bounded.
+    got = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(rows).toPandas()
     got["hash"] = mix(got["doc_id"].to_numpy().astype(np.uint64)) if len(got) else []
     got = got.sort_values(["hash", "quality"], kind="stable")
     y = got["quality"].to_numpy() == 1 if len(got) else np.zeros(0, bool)
