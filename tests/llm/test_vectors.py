@@ -28,7 +28,7 @@ def check(df, ids, vectors):
     got = hnsw.near_vectors(df).collect()
     assert len(got) == len(ids)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(ids, vectors)
-    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert all(r.kept == (r.vec_id == r.component_id) and r.recall >= 0.9 for r in got)
 
 
 def frame(spark, ids, vectors, kind="float"):
@@ -68,7 +68,7 @@ def test_recall_of_one_graph():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g = hnsw.Graph(np.arange(3000), x)
+    g, _ = hnsw.Graph.built(np.arange(3000), x)
     q = x[:300] + 0.1 * rng.normal(size=(300, 24))
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     beam, sims = g.search(q.astype(np.float32), 48)
@@ -78,9 +78,41 @@ def test_recall_of_one_graph():
     assert [len(layer) for layer in g.layers] == sorted(len(layer) for layer in g.layers)
 
 
+def tables(rng, n, q, dim=12):
+    import pyarrow as pa
+
+    x = clusters(rng, n, n // 6, dim)
+    nodes = pa.table({"dim": np.full(n, dim), "shard": np.zeros(n, int), "node": np.arange(n), "copies": np.ones(n, int), "vector": x.tolist()})
+    return x, nodes, pa.table({"node": np.arange(q), "vector": x[:q].tolist()})
+
+
+def test_a_written_graph_is_the_same():
+    x, nodes, _ = tables(np.random.default_rng(5), 3000, 1)
+    g, order = hnsw.Graph.built(np.arange(3000), hnsw.unit(nodes["vector"], 12))
+    table = hnsw.built_shard(nodes)
+    assert table["node"].to_numpy().tolist() == order.tolist()
+    again = hnsw.restored(table, g.x)
+    assert len(again.layers) == len(g.layers) > 1
+    for a, b in zip(g.layers, again.layers):
+        assert [set(r[r >= 0].tolist()) for r in a] == [set(r[r >= 0].tolist()) for r in b]
+
+
+def test_the_audit_sees_missed_links(monkeypatch):
+    """A graph without most of its links finds little: the audit notices and widens the beams until all is found."""
+    x, nodes, queries_ = tables(np.random.default_rng(6), 2000, 400)
+    table = hnsw.built_shard(nodes)
+    whole = hnsw.shard_links(table, queries_).to_pandas()
+    assert whole.true_pairs.sum() > 300 and whole.found_pairs.sum() == whole.true_pairs.sum()
+    search = hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda g, q, width: tuple(np.where(np.arange(r.shape[1]) % 2 < (width > 100) + 1, r, -np.inf if r.dtype.kind == "f" else r) for r in search(g, q, width)))
+    less = hnsw.shard_links(table, queries_).to_pandas()
+    assert less.beam.max() > 100 and less.found_pairs.sum() == less.true_pairs.sum()
+    assert less.n.sum() == whole.n.sum()
+
+
 def test_links_are_both_ways_and_bounded():
     rng = np.random.default_rng(4)
-    g = hnsw.Graph(np.arange(1500), rng.normal(size=(1500, 8)).astype(np.float32))
+    g, _ = hnsw.Graph.built(np.arange(1500), rng.normal(size=(1500, 8)).astype(np.float32))
     low = g.layers[-1]
     assert low.shape[1] >= 2 * hnsw.LINKS and len(low) == 1500 and low.max() < 1500 and (low != np.arange(1500)[:, None]).all()
     for row in low[:200]:

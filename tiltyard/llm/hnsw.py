@@ -7,14 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.llm.base import components, materialize, mix
+from tiltyard.llm.base import components, dropped, join_by_count, local_stars, materialize, mix, trim
 
 COSINE = 0.95
 LINKS = 16  # of a node in an upper layer; twice as many in the lowest
 BEAM = 32  # entries of a search's beam to begin with
-SHARD_ROWS = 1 << 17  # more vectors make more shards, so that one always fits a task
+SHARD_BYTES = 32 << 20  # of a shard's vectors in single precision, which so always fit a task; more make more shards
 LEAST_SHARDS = 6
-AUDITED, RECALL = 256, 1.0  # queries of each task held against brute force, and what they must find
+QUERIES = 1 << 17  # of a task at most
+#: Of each task's queries so many that have links, and so many others, are held against brute force; what share of their links must be found.
+AUDITED, OTHERS, RECALL = 256, 32, 1.0
+CHUNK = 1 << 22  # cosines of a block in brute force, and links held at once
 
 
 def beam_search(x: np.ndarray, near: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, each: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -134,20 +137,26 @@ def levels(ids: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """A shard's layers. Nodes are in descending order of their level, so that a layer is a prefix of them."""
+    """A shard's layers, the highest first. Nodes are in descending order of their level, so that a layer is a prefix
+    of them."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, x: np.ndarray, layers: list[np.ndarray]):
+        self.x, self.layers = x, layers
+
+    @classmethod
+    def built(cls, ids: np.ndarray, x: np.ndarray) -> tuple[Graph, np.ndarray]:
+        """The graph, and which of ``ids`` each of its nodes is."""
         top = levels(ids)
         order = np.lexsort((mix(ids.astype(np.uint64)), -top))
-        self.order, self.x, top = order, np.ascontiguousarray(x[order], np.float32), top[order]
+        top = top[order]
+        graph = cls(np.ascontiguousarray(x[order], np.float32), [])
         sizes = [int((top >= level).sum()) for level in range(int(top.max(initial=0)) + 1)]
         while len(sizes) > 1 and sizes[-2] <= 64:
             sizes.pop()
-        self.layers: list[np.ndarray] = []
         for level in range(len(sizes) - 1, -1, -1):
-            near = layer(self.x[: sizes[level]], LINKS if level else 2 * LINKS, self._entries)
-            self.layers.append(near)
-        self._reach_all()
+            graph.layers.append(layer(graph.x[: sizes[level]], LINKS if level else 2 * LINKS, graph._entries))
+        graph._reach_all()
+        return graph, order
 
     def _reach_all(self) -> None:
         """Pruning may leave nodes of the lowest layer without a way to them: each such island gets a link from
@@ -189,23 +198,22 @@ class Graph:
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         return beam_search(self.x, self.layers[-1], queries, self.enter(queries, -1), width)
 
-    def within(self, queries: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) of a cosine of at least ``least``: a beam that is all of such nodes is widened
-        until it isn't, or holds the shard."""
-        q, node = [], []
-        todo, wide = np.arange(len(queries)), width
-        while len(todo):
-            again = []
-            for lo in range(0, len(todo), step := max(8, (1 << 20) // max(wide, 4096))):
-                part = todo[lo : lo + step]
-                beam, sims = self.search(queries[part], wide)
-                full = (sims[:, -1] >= least) & (wide < len(self.x))
-                r, c = np.nonzero((sims >= least) & ~full[:, None])
-                q.append(part[r])
-                node.append(beam[r, c])
-                again.append(part[full])
-            todo, wide = np.concatenate(again), wide * 4
-        return (np.concatenate(q), np.concatenate(node)) if q else (np.zeros(0, int), np.zeros(0, int))
+    def within(self, queries: np.ndarray, least: float, width: int):
+        """Pairs (query, node) of a cosine of at least ``least``, some at a time. A query whose beam is all of such
+        nodes has more than the beam holds, and is held against the whole shard."""
+        full = []
+        for lo in range(0, len(queries), step := max(8, (1 << 20) // max(width, 4096))):
+            part = np.arange(lo, min(lo + step, len(queries)))
+            beam, sims = self.search(queries[part], width)
+            over = (sims[:, -1] >= least) & (width < len(self.x))
+            r, c = np.nonzero((sims >= least) & ~over[:, None])
+            yield part[r], beam[r, c]
+            full.append(part[over])
+        rest = np.concatenate(full) if full else np.zeros(0, np.int64)
+        for lo in range(0, len(rest), step := max(1, CHUNK // len(self.x))):
+            part = rest[lo : lo + step]
+            r, c = np.nonzero(queries[part] @ self.x.T >= least)
+            yield part[r], c
 
 
 def unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -214,69 +222,113 @@ def unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def built_shard(nodes: pa.Table) -> pa.Table:
+    """A shard's nodes in their graph's order, each with its neighbours in every layer it is in, the lowest first."""
+    dim = nodes["dim"][0].as_py()
+    graph, order = Graph.built(nodes["node"].to_numpy(), unit(nodes["vector"], dim))
+    near: list[list] = [[row[row >= 0]] for row in graph.layers[-1]]
+    for upper in reversed(graph.layers[:-1]):
+        for i, row in enumerate(upper):
+            near[i].append(row[row >= 0])
+    trim()
+    out = nodes.take(pa.array(order))
+    return out.append_column("place", pa.array(np.arange(len(order)), pa.int32())).append_column("near", pa.array(near, pa.list_(pa.list_(pa.int32()))))
+
+
+def restored(index: pa.Table, x: np.ndarray) -> Graph:
+    """The graph of a shard's rows, in order."""
+    column = index["near"].combine_chunks()
+    depth = np.diff(column.offsets.to_numpy())
+    lists_ = column.flatten()
+    sizes, values = np.diff(lists_.offsets.to_numpy()), lists_.flatten().to_numpy()
+    begins = np.cumsum(sizes) - sizes
+    first = np.cumsum(depth) - depth
+    layers = []
+    for level in range(int(depth.max())):
+        at = first[depth > level] + level  # a layer is a prefix of the nodes
+        own = sizes[at]
+        near = np.full((len(at), max(1, int(own.max()))), -1, np.int32)
+        line = np.repeat(np.arange(len(at)), own)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(own) - own, own)
+        near[line, place] = values[np.repeat(begins[at], own) + place]
+        layers.append(near)
+    return Graph(x.astype(np.float32), layers[::-1])
+
+
 def shard_links(index: pa.Table, queries: pa.Table) -> pa.Table:
-    """What one shard tells some queries: for each its links' number, and edges that connect what links do.
+    """What one shard tells some queries: for each its links' number (a, n), edges (a, b) that connect what links do,
+    and one row of the audit: the links that the audited queries have, how many were found, and the beam.
 
-    Audited queries are held against brute force; while they find less than ``RECALL`` of what there is, all
-    beams widen, in the end to the whole shard. What is found is confirmed in double precision.
+    Audited are queries for which links were found, and a few others; their truth is brute force, themselves left
+    out. While they find less than ``RECALL`` of it, all beams widen, in the end to the whole shard. What is found is
+    confirmed in double precision.
     """
+    kinds = {"a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "true_pairs": pa.int64(), "found_pairs": pa.int64(), "beam": pa.int64()}
+    made = lambda size, **of: pa.table({k: pa.array(of[k], kinds[k]) if k in of else pa.nulls(size, kinds[k]) for k in kinds})
     if not index.num_rows or not queries.num_rows:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        return made(0)
+    index = index.sort_by("place")
     dim = index["dim"][0].as_py()
     ids, copies, x = index["node"].to_numpy(), index["copies"].to_numpy(), unit(index["vector"], dim)
     q_ids, q = queries["node"].to_numpy(), unit(queries["vector"], dim)
-    graph = Graph(ids, x)
-    ids, copies, x = ids[graph.order], copies[graph.order], x[graph.order]
-    fast = q.astype(np.float32)
-    audit = np.argsort(mix(q_ids.astype(np.uint64) + np.uint64(5)))[:AUDITED]
-    truth = q[audit] @ x.T >= COSINE
-    width = BEAM
+    graph, fast, width = restored(index, x), q.astype(np.float32), BEAM
+    by_hash = np.argsort(mix(q_ids.astype(np.uint64) + np.uint64(5)))
+    truth = audit = None
     while True:
-        got = graph.within(fast[audit], COSINE - 1e-4, width)
-        found = np.zeros(truth.shape, bool)
-        found[got] = True
-        if (found & truth).sum() >= RECALL * truth.sum() or width >= len(ids):
+        n = np.zeros(len(q_ids), np.int64)
+        stars, held = [], 0
+        found = None if audit is None else np.zeros(truth.shape, bool)
+        place = None if audit is None else np.full(len(q_ids), -1)
+        if audit is not None:
+            place[audit] = np.arange(len(audit))
+        for a, b in graph.within(fast, COSINE - 1e-4, width):
+            keep = q_ids[a] != ids[b]
+            a, b = a[keep], b[keep]
+            keep = np.zeros(len(a), bool)
+            for lo in range(0, len(a), 1 << 16):
+                p = slice(lo, lo + (1 << 16))
+                keep[p] = np.einsum("kd,kd->k", q[a[p]], x[b[p]]) >= COSINE
+            a, b = a[keep], b[keep]
+            n += np.bincount(a, weights=copies[b], minlength=len(q_ids)).astype(np.int64)
+            if audit is not None:
+                seen = place[a] >= 0
+                found[place[a[seen]], b[seen]] = True
+            stars.append((np.maximum(q_ids[a], ids[b]), np.minimum(q_ids[a], ids[b])))
+            held += len(a)
+            if held > CHUNK:
+                stars = [local_stars(*map(np.concatenate, zip(*stars)))]
+                held = len(stars[0][0])
+        if audit is None:
+            linked = by_hash[n[by_hash] > 0]
+            audit = np.unique(np.concatenate([linked[:AUDITED], by_hash[n[by_hash] == 0][:OTHERS]]))
+            truth = np.concatenate([q[audit[lo : lo + 16]] @ x.T >= COSINE for lo in range(0, len(audit), 16)]) & (q_ids[audit][:, None] != ids)
+            got = graph.within(fast[audit], COSINE - 1e-4, width)
+            found = np.zeros(truth.shape, bool)
+            for a, b in got:
+                found[a, b] = True
+        met = int((found & truth).sum())
+        if met >= RECALL * truth.sum() or width >= len(ids):
             break
         width *= 2
-    a, b = graph.within(fast, COSINE - 1e-4, width)
-    keep = np.zeros(len(a), bool)
-    for lo in range(0, len(a), 1 << 17):
-        p = slice(lo, lo + (1 << 17))
-        keep[p] = np.einsum("kd,kd->k", q[a[p]], x[b[p]]) >= COSINE
-    a, b = a[keep], b[keep]
-    other = q_ids[a] != ids[b]
-    a, b = a[other], b[other]
-    n = np.bincount(a, weights=copies[b], minlength=len(q_ids)).astype(np.int64)
     some = np.flatnonzero(n)
-    names, flat = np.unique(np.concatenate([q_ids[a], ids[b]]), return_inverse=True)
-    u, v = flat[: len(a)], flat[len(a) :]
-    low = np.arange(len(names))
-    while True:
-        m = np.minimum(low[u], low[v])
-        new = low.copy()
-        np.minimum.at(new, u, m)
-        np.minimum.at(new, v, m)
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    moved = np.flatnonzero(low != np.arange(len(names)))
-    return pa.table({
-        "a": pa.array(np.concatenate([q_ids[some], names[moved]]), pa.int64()),
-        "b": pa.array([None] * len(some) + names[low[moved]].tolist(), pa.int64()),
-        "n": pa.array(n[some].tolist() + [None] * len(moved), pa.int64()),
-    })
+    u, v = local_stars(*map(np.concatenate, zip(*stars))) if stars else (np.zeros(0, np.int64),) * 2
+    trim()
+    return pa.concat_tables([
+        made(len(some), a=q_ids[some], n=n[some]), made(len(u), a=u, b=v), made(1, true_pairs=[int(truth.sum())], found_pairs=[met], beam=[width]),
+    ])
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept), one a row of ``vectors`` (vec_id, embedding).
+    """Rows (vec_id, n_links, component_id, kept, recall), one a row of ``vectors`` (vec_id, embedding).
 
     Two vectors are linked if their cosine, in double precision, is at least 0.95. Equal vectors are one node
-    with a number of copies. Nodes are dealt by hash to shards, each with a graph of its own, every node is
-    looked for in every shard, and components come from all links. Vectors that are null, empty or zero, or
-    hold null or non-finite components, link with nothing, nor do those of different lengths with each other.
-    Rows with a null id are vectors like others; a component's id is its least id that isn't null. Repeated
-    rows link with each other. Other columns are ignored; an empty table gives no row.
+    with a number of copies. Nodes are dealt by hash to shards, each with a graph that is built once and written;
+    every node is looked for in every shard, and components come from all links. ``recall`` is the least share that
+    any task's audited queries found of their links, the same in all rows and null where none has a link. Vectors
+    that are null, empty or zero, or hold null or non-finite components, link with nothing, nor do those of different
+    lengths with each other. Rows with a null id are vectors like others; a component's id is its least id that isn't
+    null. Repeated rows link with each other. A cosine of just 0.95 (a tie) is a link. Other columns are ignored; an
+    empty table gives no row.
     """
     e = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", e.alias("vector"))
@@ -284,21 +336,32 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     good = F.coalesce(F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("good", good).withColumn("h1", F.when(F.col("good"), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("good"), F.xxhash64(F.lit(7), "vector")))
     nodes = rows.where("good").groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
-    nodes, seen = materialize(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), F.count(F.lit(1)).alias("n"))
-    shards = max(LEAST_SHARDS, -(-seen["n"] // SHARD_ROWS))
-    blocks = max(2, -(-seen["n"] // SHARD_ROWS))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    nodes, seen = materialize(
+        nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")),
+        F.count(F.lit(1)).alias("n"), zero(F.sum(F.size("vector").cast("long")), "numbers"), zero(F.sum("copies"), "rows"),
+    )
+    shards = max(LEAST_SHARDS, -(-4 * seen["numbers"] // SHARD_BYTES))
+    blocks = max(2, -(-seen["n"] // QUERIES))
     of = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(n)).cast("int")
-    index = nodes.select("dim", of("shard", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "node", "copies", "vector")
+    dealt = nodes.select("dim", of("shard", shards).alias("shard"), "node", "copies", "vector")
+    graphs = materialize(dealt.groupBy("dim", "shard").applyInArrow(built_shard, "dim int, shard int, node long, copies long, vector array<double>, place int, near array<array<int>>"))
+    index = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = nodes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), of("block", blocks).alias("block"), "node", "vector")
     keys = ["dim", "shard", "block"]
-    found = materialize(index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(shard_links, "a long, b long, n long"))
+    found, audit = materialize(
+        index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(shard_links, "a long, b long, n long, true_pairs long, found_pairs long, beam long"),
+        F.min(F.when(F.col("true_pairs") > 0, F.col("found_pairs") / F.col("true_pairs"))).alias("recall"),
+    )
+    dropped(graphs)
     links = found.where("n is not null").groupBy(F.col("a").alias("l_node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null").select("a", "b")).select(F.col("id").alias("r_node"), "root")
     joined = nodes.join(links, F.col("node") == F.col("l_node"), "left").join(roots, F.col("node") == F.col("r_node"), "left")
     joined = joined.select("h1", "h2", "copies", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "node").alias("root"))
     name = joined.groupBy(F.col("root").alias("n_root")).agg(F.min("least").alias("component"))
     joined = joined.join(name, F.col("root") == F.col("n_root"))
-    known = joined.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), (F.col("n") + F.col("copies") - 1).alias("n_links"), "component")
-    out = rows.select("vec_id", "h1", "h2").join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+    known = joined.select("h1", "h2", "copies", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component")
+    out = join_by_count(rows.select("vec_id", F.coalesce("h1", F.lit(0)).alias("h1"), F.coalesce("h2", F.lit(0)).alias("h2")), known, ["h1", "h2"], "copies", seen["rows"])
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    recall = F.lit(None if audit["recall"] is None else float(audit["recall"])).cast("double").alias("recall")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), recall)
