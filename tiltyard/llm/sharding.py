@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiltyard.llm.base import materialize
+from tiltyard.llm.base import join_by_count, materialize
 
 _DIGIT = 12  # bits of a key that one pass over the rows tells apart
 _KEY = 60  # bits of a key: 20 of the coordinate, 40 of the text's hash
@@ -22,22 +21,36 @@ _RUN = 4096  # copies of a row that are numbered at once
 
 @dataclass(frozen=True)
 class Cut:
-    """Rows of node ``node`` whose key in ``dimension`` is below ``low`` go left; so do those whose key is
-    ``key`` and whose own hash is below ``row``, and the few whose hash is in ``chosen``."""
+    """Rows of node ``node`` whose key in dimension ``dimension`` (a number) is below ``low`` go left; so do those
+    whose key is ``key`` and whose own hash is below ``row``, and the few whose hash is in ``chosen``."""
 
     node: int
-    dimension: str
+    dimension: int
     low: int
     key: int = -1
     row: int = 0
     chosen: tuple[int, ...] = ()
 
-    def left(self) -> Column:
-        k = F.col(f"k_{self.dimension}")
-        out = k < self.low
-        if self.key >= 0:
-            out = out | ((k == self.key) & (F.col("row_hash") < self.row))
-        return out | F.col("row_hash").isin(list(self.chosen)) if self.chosen else out
+
+def small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows a shard, sent to every task."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+
+def keyed(rows: DataFrame, dimensions: dict[int, int]) -> DataFrame:
+    """The rows of these nodes, each with its key in its node's dimension."""
+    of = small(rows, list(dimensions.items()), "node long, dimension int")
+    return rows.join(of, "node").withColumn("key", F.element_at(F.array(*[f"k_{d}" for d in DIMENSIONS]), F.col("dimension") + 1))
+
+
+def moved(rows: DataFrame, cuts: list[Cut]) -> DataFrame:
+    """Rows of cut nodes a level further: 1 is the root, 2n and 2n + 1 are below n."""
+    table = [(c.node, c.dimension, c.low, c.key, c.row, list(c.chosen)) for c in cuts]
+    of = small(rows, table, "node long, c_dimension int, c_low long, c_key long, c_row long, c_chosen array<long>")
+    key = F.element_at(F.array(*[f"k_{d}" for d in DIMENSIONS]), F.col("c_dimension") + 1)
+    left = (key < F.col("c_low")) | ((key == F.col("c_key")) & (F.col("row_hash") < F.col("c_row"))) | F.array_contains("c_chosen", F.col("row_hash"))
+    node = F.when(F.col("c_low").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(left, 0).otherwise(1))
+    return rows.join(of, "node", "left").withColumn("node", node).drop("c_dimension", "c_low", "c_key", "c_row", "c_chosen")
 
 
 def text_order(c: Column) -> Column:
@@ -59,61 +72,51 @@ def metadata(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("text_hash"), column("lang", "string"), column("source", "string")
     )
-    rows = materialize(rows.groupBy("text_hash", "text_crc32", "size", "doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.count(F.lit(1)).alias("n")))
-    group = rows.groupBy("text_hash", "text_crc32", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("doc_id").alias("first_id"))
+    counted = rows.groupBy("text_hash", "text_crc32", "size", "doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.count(F.lit(1)).alias("n"))
+    rows, seen = materialize(counted, F.count(F.lit(1)).alias("rows"))
+    group = rows.groupBy("text_hash", "text_crc32", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members"))
     at = {"size": F.log2("size"), "lang": text_order(F.col("lang")), "source": text_order(F.col("source")), "first_id": F.coalesce(F.col("first_id"), F.lit(0)).cast("double")}
-    group = group.select("text_hash", "text_crc32", F.col("size").alias("group_size"), *[c.alias(d) for d, c in at.items()])
+    group = group.select("text_hash", "text_crc32", F.col("size").alias("group_size"), "members", *[c.alias(d) for d, c in at.items()])
     ends = group.agg(*[f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)])
     scaled = []
     for d in DIMENSIONS:
         low, high = F.col(f"min_{d}"), F.col(f"max_{d}")
         step = F.floor((F.col(d) - low) / F.greatest(high - low, F.lit(1e-9)) * ((1 << 20) - 1)).cast("long")
         scaled.append((F.shiftleft(step, 40) + F.col("text_hash").bitwiseAND((1 << 40) - 1)).alias(f"k_{d}"))
-    keys = group.crossJoin(F.broadcast(ends)).select("text_hash", "text_crc32", F.col("group_size").alias("size"), *scaled)
-    joined = rows.join(keys, ["text_hash", "text_crc32", "size"])
+    keys = group.crossJoin(F.broadcast(ends)).select("text_hash", "text_crc32", F.col("group_size").alias("size"), "members", *scaled)
+    joined = join_by_count(rows, keys, ["text_hash", "text_crc32", "size"], "members", seen["rows"], "inner")
     run = joined.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_RUN).cast("long"))))
     each = run.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + _RUN, F.col("n")) - 1)))
     row_hash = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", "copy", F.lit("row")), 64 - _KEY)
     return each.select("doc_id", "size", "text_crc32", row_hash.alias("row_hash"), *[f"k_{d}" for d in DIMENSIONS])
 
 
-def node_of(cuts: list[Cut], root: int = 1) -> Column:
-    """The node that a row has reached: 1 is the root, 2n and 2n + 1 are below n."""
-    by = {c.node: c for c in cuts}
-
-    def below(n: int) -> Column:
-        return F.when(by[n].left(), below(2 * n)).otherwise(below(2 * n + 1)) if n in by else F.lit(n)
-
-    return below(root)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
-def weighted_cut(rows: DataFrame, column: Column, wanted: dict[int, float], whole: dict[int, float]) -> tuple[dict[int, tuple[int, tuple[int, ...]]], dict[int, tuple[int, float]]]:
+def weighted_cut(rows: DataFrame, key: str, wanted: dict[int, float], whole: dict[int, float]) -> tuple[dict[int, tuple[int, tuple[int, ...]]], dict[int, tuple[int, float]]]:
     """For each node the key below which the weight comes nearest under what is wanted, and the rows at the
     border that fill it up; or, of nodes where one key alone has many rows there, that key and what is wanted of it.
 
     Each pass sums weights by the next digit of the key, of the rows that share the digits found so far, and
-    brings back at most 4096 sums a node, until the border lies among few rows.
+    brings back the sums at each node's border, until the border lies among few rows.
     """
     prefix, left, heavy = dict.fromkeys(wanted, 0), dict(wanted), {}
     slabs: dict[int, tuple[int, int, int]] = {}
-    shared = lambda p, shift: (F.shiftrightunsigned(column, shift) == p) if shift < _KEY else F.lit(True)
     for shift in range(_KEY - _DIGIT, -1, -_DIGIT):
         todo = [n for n in wanted if n not in slabs]
         if not todo:
             break
-        here = any_of([(F.col("node") == n) & shared(prefix[n], shift + _DIGIT) for n in todo])
-        digit = F.shiftrightunsigned(column, shift).bitwiseAND((1 << _DIGIT) - 1).alias("digit")
-        sums = rows.where(here).groupBy("node", digit).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+        of = small(rows, [(n, prefix[n], float(left[n])) for n in todo], "node long, w_prefix long, w_left double")
+        digit = F.shiftrightunsigned(key, shift)
+        here = rows.join(of, "node").where(F.shiftrightunsigned(digit, _DIGIT) == F.col("w_prefix"))
+        sums = here.groupBy("node", "w_left", digit.bitwiseAND((1 << _DIGIT) - 1).alias("digit")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
+        by = Window.partitionBy("node").orderBy("digit")  # at most 4096 sums
+        all_ = Window.partitionBy("node")
+        sums = sums.withColumn("to", F.sum("w").over(by)).withColumn("at", F.row_number().over(by)).withColumn("bins", F.count(F.lit(1)).over(all_))
+        border = F.least(F.sum((F.col("to") <= F.col("w_left")).cast("int")).over(all_) + 1, F.col("bins"))
+        got = sums.withColumn("border", border).where((F.col("at") <= F.col("border")) & (F.col("at") > F.col("border") - _SLAB)).collect()
         for n in todo:
-            bins = sorted((r["digit"], r["w"], r["n"]) for r in sums if r["node"] == n)
-            at = 0
-            while at < len(bins) - 1 and bins[at][1] <= left[n]:
-                left[n] -= bins[at][1]
-                at += 1
+            bins = sorted((r["digit"], r["w"], r["n"], r["to"]) for r in got if r["node"] == n)
+            at = len(bins) - 1
+            left[n] -= bins[at][3] - bins[at][1]
             above = prefix[n] << _DIGIT
             prefix[n] = above + bins[at][0]
             count = bins[at][2]
@@ -128,10 +131,13 @@ def weighted_cut(rows: DataFrame, column: Column, wanted: dict[int, float], whol
                 heavy[n] = (prefix[n], left[n])
     found: dict[int, tuple[int, tuple[int, ...]]] = {}
     if slabs:
-        near = rows.where(any_of([(F.col("node") == n) & F.shiftrightunsigned(column, shift).between(lo, hi) for n, (lo, hi, shift) in slabs.items()]))
-        got = near.select("node", column.alias("key"), "row_hash", "size").collect()
+        of = small(rows, [(n, *x) for n, x in slabs.items()], "node long, w_lo long, w_hi long, w_shift int")
+        near = rows.join(of, "node").where(F.expr(f"shiftrightunsigned({key}, w_shift)").between(F.col("w_lo"), F.col("w_hi")))
+        by_node = defaultdict(list)
+        for r in near.select("node", F.col(key).alias("key"), "row_hash", "size").collect():  # at most 256 a node
+            by_node[r["node"]].append((r["key"], r["row_hash"], r["size"]))
         for n, (lo, _, shift) in slabs.items():
-            found[n] = (lo << shift, fill([(r["key"], r["row_hash"], r["size"]) for r in got if r["node"] == n], left[n], whole[n]))
+            found[n] = (lo << shift, fill(by_node[n], left[n], whole[n]))
     return found, heavy
 
 
@@ -160,58 +166,62 @@ def fill(rows: list[tuple[int, int, int]], wanted: float, whole: float) -> tuple
     return tuple(out)
 
 
-def tree(rows: DataFrame, shards: int, tolerance: float = 0.005) -> tuple[list[Cut], dict[int, int]]:
-    """The cuts, and the shard of each leaf. A node of k shards is cut so that its left part has k // 2 of
-    them, along the dimension that is widest in it, until each leaf holds the bytes of one shard.
+def placed(rows: DataFrame, shards: int, tolerance: float = 0.005) -> DataFrame:
+    """``rows`` with the ``shard`` of each. A node of k shards is cut so that its left part has k // 2 of them, along
+    the dimension that is widest in it, until each leaf holds the bytes of one shard. All nodes of a level are cut
+    together, by joins with tables of a row a node, so that a plan is as long for thousands of shards as for few.
 
     Groups of equal texts stay whole where the border comes within ``tolerance`` of a shard's bytes without
     splitting them; else it goes through the group that is there, between rows by their hash.
     """
-    cuts: list[Cut] = []
-    parts, leaves = {1: shards}, {}
+    parts, leaves, depth = {1: shards}, {}, 0
+    rows = rows.withColumn("node", F.lit(1).cast("long"))
     while any(k > 1 for k in parts.values()):
         leaves |= {n: k for n, k in parts.items() if k == 1}
         parts = {n: k for n, k in parts.items() if k > 1}
-        at = rows.withColumn("node", node_of(cuts)).where(F.col("node").isin(list(parts)))
         width = [(F.max(f"k_{d}") - F.min(f"k_{d}")).alias(d) for d in DIMENSIONS]
-        seen = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("bytes"), *width).collect()}
+        seen = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *width).collect() if r["node"] in parts}
         wanted = {n: seen[n]["bytes"] * (k // 2) / k for n, k in parts.items() if n in seen}
         whole = {n: seen[n]["bytes"] / parts[n] * tolerance for n in wanted}
-        widest = {n: max(DIMENSIONS, key=lambda d: seen[n][d]) for n in wanted}
+        widest = {n: max(range(len(DIMENSIONS)), key=lambda d: seen[n][DIMENSIONS[d]]) for n in wanted}
+        cuts: list[Cut] = []
         if wanted:
-            key = F.coalesce(*[F.when(F.col("node") == n, F.col(f"k_{d}")) for n, d in widest.items()])
-            found, heavy = weighted_cut(at, key, wanted, whole)
+            at = keyed(rows, widest)
+            found, heavy = weighted_cut(at, "key", wanted, whole)
             inside, again = {}, {}
             if heavy:
-                group = at.where(any_of([(F.col("node") == n) & (key == k) for n, (k, _) in heavy.items()]))
-                inside, again = weighted_cut(group, F.col("row_hash"), {n: w for n, (_, w) in heavy.items()}, whole)
+                of = small(rows, [(n, k) for n, (k, _) in heavy.items()], "node long, h_key long")
+                inside, again = weighted_cut(at.join(of, "node").where("key = h_key"), "row_hash", {n: w for n, (_, w) in heavy.items()}, whole)
             cuts += [Cut(n, widest[n], low, chosen=chosen) for n, (low, chosen) in found.items()]
             inside |= {n: (h, ()) for n, (h, _) in again.items()}  # a node is always cut, so that no row is left inside
             cuts += [Cut(n, widest[n], k, k, inside[n][0], inside[n][1]) for n, (k, _) in heavy.items()]
-        cuts += [Cut(n, DIMENSIONS[0], 0) for n in parts if n not in wanted]
+        cuts += [Cut(n, 0, 0) for n in parts if n not in wanted]
+        rows = moved(rows, cuts)
+        depth += 1
+        if depth % 4 == 0:
+            rows = materialize(rows)
         parts = {c: s for n, k in parts.items() for c, s in ((2 * n, k // 2), (2 * n + 1, k - k // 2))}
     leaves |= parts
     order = sorted(leaves, key=lambda n: n / (1 << n.bit_length()))
-    return cuts, {n: i for i, n in enumerate(order)}
+    return rows.join(small(rows, [(n, i) for i, n in enumerate(order)], "node long, shard int"), "node")
 
 
 def shard(docs: DataFrame, shards: int = 8, rows_a_bucket: int = 200_000) -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one a row of ``docs``.
 
     The law is ``bytes``: shards' sums of ``size`` (UTF-8 bytes and 1; a null or empty text has 1) are nearly
-    equal. Rows with equal texts stay together where that leaves shards nearly equal. ``slot`` counts a
-    shard's rows from 0. Missing or null lang and source are lowest, rows with a null id are placed like
-    others, repeated rows each count, further columns are ignored, and an empty table gives no row.
+    equal. Rows with equal texts stay together where that leaves shards nearly equal; rows of one key (a tie) are
+    split by their hash where a border goes through them. ``slot`` counts a shard's rows from 0. Missing or null lang
+    and source are lowest, rows with a null id are placed like others, repeated rows each count, further columns are
+    ignored, and an empty table gives no row.
     """
     rows, seen = materialize(metadata(docs), F.count(F.lit(1)).alias("n"))
-    cuts, leaf = tree(rows, shards) if seen["n"] else ([], {1: 0})
-    node = node_of(cuts)
-    number = F.coalesce(*[F.when(F.col("node") == n, i) for n, i in leaf.items()])
+    rows = placed(rows, shards) if seen["n"] else rows.withColumn("shard", F.lit(0))
     buckets = max(1, -(-seen["n"] // rows_a_bucket))
-    placed = rows.withColumn("node", node).withColumn("shard", number.cast("int")).withColumn("bucket", F.pmod("row_hash", F.lit(buckets)))
-    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("bucket", F.pmod("row_hash", F.lit(buckets)))
+    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("shard", "bucket").orderBy("row_hash", "doc_id")
-    out = placed.join(counts, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.row_number().over(within) - 1)
+    out = rows.join(counts, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.row_number().over(within) - 1)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
