@@ -110,3 +110,19 @@ LINES = ["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6 for _ in range(30)] + ["Zk9="]
 )
 def test_whole_keys_go(docs, text, want):
     assert [r.text for r in secrets.redact_secrets(docs([text])).collect()] == [want]
+
+
+def test_registered_query(spark, small):
+    import hashlib
+
+    from tiltyard.llm.queries import queries
+
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = queries()["op10_secret_scan"](spark, small).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        want = brute(rows[r.doc_id])
+        kinds = [x.split(":")[0] for x in want.split(",")]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in BRUTE)
+        assert {x for x in r.spans.split(",") if x} >= {x for x in want.split(",") if x}

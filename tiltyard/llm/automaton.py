@@ -218,20 +218,24 @@ class Automaton:
         self.states, self.table = len(table), table.ravel()
 
     def longest(self, data: bytes) -> int:
-        """The end of the longest match at the beginning of ``data``, or -1."""
-        return self.follow(data)[0]
+        """The end of the longest match of any expression at the beginning of ``data``, or -1."""
+        end = self.run(data, 0, -1, 0)[1]
+        return end if end else 0 if self.accepts[0] else -1
 
-    def follow(self, data: bytes) -> tuple[int, bool]:
-        """The same, and whether more data could make a longer match."""
+    def run(self, data: bytes, state: int, ends: int, marks: int) -> tuple[int, int, list[int]]:
+        """From a state over some bytes: the state then, or -1 once nothing can follow; after how many bytes an
+        expression of ``ends`` last ended, or 0; and after how many each of ``marks`` did."""
         table, klass, width, accepts, dead = self.rows()
-        state, end = 0, 0 if accepts[0] else -1
-        for i, b in enumerate(data):
+        end, marked = 0, []
+        for i, b in enumerate(data, 1):
             state = table[state * width + klass[b]]
             if state == dead:
-                return end, False
-            if accepts[state]:
-                end = i + 1
-        return end, True
+                return -1, end, marked
+            if accepts[state] & ends:
+                end = i
+            if accepts[state] & marks:
+                marked.append(i)
+        return state, end, marked
 
     def rows(self):
         if not hasattr(self, "_rows"):

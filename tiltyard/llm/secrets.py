@@ -57,19 +57,21 @@ RULES = BASE + MORE
 
 
 class Scanner:
+    """All rules as two minimal automata: read from right to left, in one pass over the bytes, the first accepts
+    wherever a match of any rule begins; read from there, the second accepts where matches, and their heads, end."""
+
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         whole = [parse(r.head + r.body) for r in rules]
+        headed = [r for r, rule in enumerate(rules) if rule.head and rule.least]
         self.starts = Automaton([backwards(x) for x in whole], anywhere=True)
-        self.ends = [Automaton([parse(f"{r.head}{r.body}({r.tail})?") if r.tail else x], anywhere=False) for r, x in zip(rules, whole)]
-        self.heads = [Automaton([parse(r.head)], anywhere=False) if r.head and r.least else None for r in rules]
+        to_end = [parse(f"{r.head}{r.body}({r.tail})?") if r.tail else x for r, x in zip(rules, whole)]
+        self.ends = Automaton(to_end + [parse(rules[r].head) for r in headed], anywhere=False)
+        self.head_bit = {r: 1 << (len(rules) + i) for i, r in enumerate(headed)}
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-        """(start, end, rule) in bytes of ``data``, by start and then rule.
-
-        Read from right to left, the automaton accepts wherever a match begins; the few that begin at no
-        earlier match of their rule are then followed to their ends.
-        """
+        """(start, end, rule) in bytes of ``data``, by start and then rule: of each rule those that begin at no
+        earlier match of it."""
         n, texts = len(data), len(offsets) - 1
         own = np.repeat(np.arange(texts), np.diff(offsets))  # a symbol between texts resets the automaton
         symbols = np.full(n + texts, self.starts.width - 1, np.int32)
@@ -82,24 +84,27 @@ class Scanner:
             at = hit[(which >> r) & 1 == 1]
             text = np.searchsorted(offsets[1:] + np.arange(1, texts + 1), at, "right")
             at = at - text
-            used, i = 0, 0
+            i = 0
             while i < len(at):
                 start, limit = int(at[i]), int(offsets[text[i] + 1])
-                end = self._end(self.ends[r], data, start, limit)
-                head = self._end(self.heads[r], data, start, end) if self.heads[r] else start
+                end, head = self._ends(r, data, start, limit)
                 if end - head >= rule.least:
                     found.append((start, end, r))
                 i = max(i + 1, int(np.searchsorted(at, end)))
         return sorted(found, key=lambda x: (x[0], x[2]))
 
-    @staticmethod
-    def _end(automaton: Automaton, data: np.ndarray, start: int, limit: int) -> int:
-        size = 256  # most matches are short
-        while True:
-            end, more = automaton.follow(data[start : min(limit, start + size)].tobytes())
-            if not more or start + size >= limit:
-                return start + end
-            size *= 16
+    def _ends(self, rule: int, data: np.ndarray, start: int, limit: int) -> tuple[int, int]:
+        """Where the longest match of a rule that begins here ends, and where the longest head in it does."""
+        state, at, size, end, heads = 0, start, 256, start, [start]
+        while at < limit:
+            stop = min(limit, at + size)  # most matches are short
+            state, ends, marks = self.ends.run(data[at:stop].tobytes(), state, 1 << rule, self.head_bit.get(rule, 0))
+            end = at + ends if ends else end
+            heads += [at + m for m in marks]
+            if state < 0:
+                break
+            at, size = stop, size * 16
+        return end, max(h for h in heads if h <= end)
 
     def scan(self, column: pa.Array, limit: int = 1 << 20) -> list[list[tuple[str, int, int]]]:
         """The spans of each text in code points."""
