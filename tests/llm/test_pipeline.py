@@ -50,6 +50,34 @@ def test_stages(spark, small, tmp_path):
 def test_run(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and corpus_pipeline.ORACLE_SQL is None
+    starts = [r for r in rows if r.start == 0]
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in starts) and all(len(r.ids) == r.length for r in rows)
+
+
+def test_stages_take_odd_rows(spark, small, docs, odd_texts, prose):
+    """Nulls, empty and long texts, repeats, no rows, and columns with the operators' own names, through every stage."""
+    texts = [*odd_texts, prose(5, 80), prose(5, 80), "password = hunter2hunter2 " + prose(6, 80)]
+    df = docs([*texts, prose(7, 60)], [*range(len(texts)), None], [None, "a", "b"] * 4 + ["a", "b"], extra=True).selectExpr("*", "5 as copy", "'k' as shuffle_key", "6 as n_words", "7 as start", "8 as t1", "9 as length")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, df.where("false"), small)
+        out = stage(spark, df, small)
+        rows = out.collect()
+        assert none.count() == 0 and none.columns == out.columns
+        if name != "pack":
+            assert out.columns == df.columns
+            assert all((r.copy, r.shuffle_key, r.n_words, r.start, r.t1, r.length, r.kept) == (5, "k", 6, 7, 8, 9, 1) for r in rows)
+        got = sorted((r.doc_id for r in rows), key=repr)
+        if name == "quality_rules":
+            assert {i for i in got if i is not None} <= {i for i, t in enumerate(texts) if t and len(t.split()) >= 20} and None in got
+        if name == "near_dedup":
+            want = groups(list(range(len(texts))), texts)
+            assert got == sorted([*(i for i in range(len(texts)) if want[i][1] == i), None], key=repr)
+        if name == "secret_scan":
+            assert len(rows) == df.count() and not any("hunter2" in (r.text or "") for r in rows) and sum(r.text is None for r in rows) == 1
+        if name == "mix_sources":
+            assert all(r.text in [*texts, prose(7, 60)] for r in rows)
+        if name == "pack":
+            assert sum(r.doc_tokens for r in rows if r.start == 0) == sum(r.length for r in rows) and {r.doc_id for r in rows} == {*range(len(texts)), None}
 
 
 def test_the_rest_works_without_this_part(tmp_path):
