@@ -209,26 +209,31 @@ def rooted(ids: DataFrame, roots: DataFrame) -> DataFrame:
     return ids.join(r, ids["id"] == r["r_id"], "left").withColumn("root", F.coalesce("r_root", "id")).drop("r_id", "r_root")
 
 
-def filter_of(keys: DataFrame, n: int, most: int = 1 << 28) -> np.ndarray:
-    """A Bloom filter of one function over the n numbers in column ``t1``: a bit for each of sixteen times as many
-    places, of ``most`` (32 MB) at most, in words of 64 bits. Where it is too full it lets more pass, never less."""
-    bits = 1 << min(most.bit_length() - 1, max(16, (16 * n).bit_length()))
-    place = F.pmod("t1", F.lit(bits))
-    word = F.expr("shiftleft(1L, cast(bit as int))")
-    got = keys.select(F.shiftright(place, 6).alias("word"), (place % 64).alias("bit")).groupBy("word").agg(F.bit_or(word).alias("v")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[got["word"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def set_hashes(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """Rows (doc_id, t1, t2, hashes): the distinct shingles of each text that the filter lets pass."""
-    words = docs.sparkSession.sparkContext.broadcast(known)
+class Filter:
+    """A Bloom filter of one function over the n numbers in a column of ``keys``: a bit for each of sixteen times as
+    many places, of ``most`` (32 MB) at most, as one broadcast row. Where it is too full it lets more pass, never less."""
+
+    def __init__(self, keys: DataFrame, column: str, n: int, most: int = 1 << 28):
+        self.bits = 1 << min(most.bit_length() - 1, max(16, (16 * n).bit_length()))
+        self.name = "bits_" + uuid.uuid4().hex
+        place = F.pmod(F.col(column), F.lit(self.bits))
+        bit = F.expr("shiftleft(1L, cast(bit as int))")
+        got = keys.select(F.shiftright(place, 6).alias("word"), (place % 64).alias("bit")).groupBy("word").agg(F.bit_or(bit).alias("v")).toPandas()
+        words = np.zeros(self.bits // 64, np.int64)
+        words[got["word"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
+        row = pa.table({self.name: pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))})
+        self.row = F.broadcast(keys.sparkSession.createDataFrame(row))
+
+    def met(self, df: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+        """The rows of ``df`` whose number may be among the keys, or ("left_anti") those whose number can't be."""
+        word = f"get(`{self.name}`, cast(shiftright(pmod(`{column}`, {self.bits}L), 6) as int))"
+        return df.join(self.row, F.expr(f"(shiftrightunsigned({word}, cast(pmod(`{column}`, 64L) as int)) & 1L) = 1L"), how)
+
+
+def set_hashes(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, t1, t2, hashes): the distinct shingles of each of these texts."""
 
     def sets(batch: pa.RecordBatch):
-        place = batch.column(1).to_numpy() % (64 * len(words.value))
-        passes = (words.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-        batch = batch.filter(pa.array(passes))
         for part in chunks(batch.column(3), lower=True):
             hashes, bounds = shingles(part)
             own = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(part.n)]
@@ -236,7 +241,7 @@ def set_hashes(docs: DataFrame, known: np.ndarray) -> DataFrame:
             rows = {n: batch.column(i).slice(part.first, part.n) for i, n in enumerate(("doc_id", "t1", "t2"))}
             yield rows | {"hashes": lists(np.concatenate(own).view(np.int64), sizes, pa.int64())}
 
-    return map_arrow(with_text_hash(docs), sets, "doc_id long, t1 long, t2 long, hashes array<long>")
+    return map_arrow(docs.select("doc_id", "t1", "t2", "text"), sets, "doc_id long, t1 long, t2 long, hashes array<long>")
 
 
 def outside_against_all(rows: DataFrame, group: str) -> DataFrame:
@@ -300,7 +305,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     dropped(members, close)
     # Only texts of candidates become sets, before anything is shuffled; which rows they are is then joined exactly.
     wanted = sized.select("id", "group", "blocks", F.col("first.doc_id").alias("w_id"), F.col("first.t1").alias("t1"), F.col("first.t2").alias("t2"))
-    made = set_hashes(docs, filter_of(wanted, most["n"])).groupBy("t1", "t2", "doc_id").agg(F.first("hashes").alias("hashes"))
+    made = set_hashes(Filter(wanted, "t1", most["n"]).met(with_text_hash(docs), "t1")).groupBy("t1", "t2", "doc_id").agg(F.first("hashes").alias("hashes"))
     sets = materialize(made.join(wanted, (made["t1"] == wanted["t1"]) & (made["t2"] == wanted["t2"]) & made["doc_id"].eqNullSafe(wanted["w_id"])).select("id", "group", "blocks", "hashes"))
     blocks = F.greatest(F.ceil("blocks"), F.lit(1)).cast("int")
     # Members of a large group that every block sees: those with the least hashes, about a thirtieth of a block.
@@ -349,10 +354,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("null"), *row) == F.col("kept")
     mark = {n: n + "_" + uuid.uuid4().hex for n in row}
     met = of.groupBy(*[F.col(n).alias("of_" + mark[n]) for n in row]).agg(F.max(F.coalesce(first, F.lit(False))).alias("stays"), F.count(F.lit(1)).alias("rows")).where("not stays or rows > 1")
-    met, seen = materialize(met, F.count(F.when(F.col("stays"), 1)).alias("repeated"))
+    met, seen = materialize(met, F.count(F.when(F.col("stays"), 1)).alias("repeated"), F.count(F.lit(1)).alias("n"))
     marked = docs.withColumns({mark["doc_id"]: F.col("doc_id"), mark["t1"]: F.xxhash64("text"), mark["t2"]: F.xxhash64(F.lit(9), F.col("text"))})
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col("of_" + n)) for n in mark.values()])
-    out = marked.join(met, same, "left_anti").drop(*mark.values())
+    few = Filter(met, "of_" + mark["t1"], seen["n"])  # other rows stay where they are; only these are joined exactly
+    out = few.met(marked, mark["t1"], "left_anti").unionByName(few.met(marked, mark["t1"]).join(met, same, "left_anti")).drop(*mark.values())
     if seen["repeated"]:  # of repeated rows that stay, one
-        out = out.unionByName(marked.join(met.where("stays"), same, "left_semi").dropDuplicates([*mark.values()]).drop(*mark.values()))
+        out = out.unionByName(few.met(marked, mark["t1"]).join(met.where("stays"), same, "left_semi").dropDuplicates([*mark.values()]).drop(*mark.values()))
     return out
