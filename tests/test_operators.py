@@ -211,3 +211,20 @@ def test_sides_and_swap(spark):
     back = swapped(df).first()
     assert (back.team_deck_key, back.win, round(back.matrix_prior, 6)) == ("2", False, 0.38)
     assert swapped(swapped(df)).first().team_card_ids == [1]
+
+
+def test_ranks_and_percentiles_of_crowded_columns(spark):
+    """One value in most rows, nulls and ties: ranks are whole, no cell holds much, percentiles are numpy's."""
+    rng = np.random.default_rng(11)
+    values = [0.5] * 3000 + rng.uniform(size=900).tolist() + [None] * 100
+    df = spark.createDataFrame([(i, v, f"g{i % 3}") for i, v in enumerate(values)], "id int, v double, g string").repartition(7)
+    got = sorted((r["rank"], (r.v is not None, r.v or 0.0), r.id, r.n) for r in metrics.ranked(df, ["v", "id"]).collect())
+    assert [g[0] for g in got] == list(range(1, 4001)) and [g[1:3] for g in got] == sorted(g[1:3] for g in got) and got[0][3] == 4000
+    cells = metrics.running(df.withColumn("w", F.lit(1)), ["v", "id"], "w", "before").select("before").distinct().count()
+    assert cells == 4000
+    of = {r.g: r for r in metrics.exact_percentiles(df, F.col("v"), {"a": 0.1, "b": 0.5, "c": 0.9}, ["g"]).collect()}
+    for g in range(3):
+        own = [v for i, v in enumerate(values) if i % 3 == g and v is not None]
+        assert [of[f"g{g}"][n] for n in "abc"] == pytest.approx(list(np.quantile(own, [0.1, 0.5, 0.9])))
+    none = metrics.exact_percentiles(df.where("false"), F.col("v"), {"a": 0.5}).collect()
+    assert [r.a for r in none] == [None]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltyard.functions.segments import EXCLUDED
+from tiltyard.operators.metrics import exact_percentiles, running
 
 
 def without_top_ranks(battles: DataFrame, excluded: Sequence[str] = EXCLUDED) -> DataFrame:
@@ -94,6 +95,8 @@ def _cumulative(df: DataFrame, value: str, weight: str | None, by: Sequence[str]
     """One row a distinct value with the share of weight up to it; values are summed before the window."""
     w = F.sum(weight) if weight else F.count(F.lit(1))
     sums = df.groupBy(*by, value).agg(w.alias("w"))
+    if not by:
+        return running(sums, [value], "w", "_before").withColumn("share", (F.col("_before") + F.col("w")) / F.col("_total")).drop("_before", "_total")
     whole = Window.partitionBy(*by)
     return sums.withColumn("share", F.sum("w").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(whole))
 
@@ -109,8 +112,10 @@ def weighted_percentiles(df: DataFrame, value: str, weight: str | None, shares:
 
 def linear_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles with linear interpolation, mean and population deviation."""
-    picks = [F.percentile(value, F.lit(float(s))).alias(name(s)) for s in shares]
-    return df.groupBy(*by).agg(*picks, F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    picks = exact_percentiles(df, F.col(value), {name(s): s for s in shares}, by)
+    rest = df.groupBy(*[F.col(b).alias(f"_of_{b}") for b in by]).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    out = picks.join(rest, [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by]) if by else picks.crossJoin(F.broadcast(rest))
+    return out.drop(*[f"_of_{b}" for b in by])
 
 
 def name(share: float) -> str:
@@ -124,9 +129,8 @@ def share_below(df: DataFrame, value: str, reference: DataFrame, ref_value: str)
     mine = df.groupBy(F.col(value).alias("v")).agg(F.lit(0).cast("bigint").alias("c")).withColumn("mine", F.lit(True))
     theirs = reference.groupBy(F.col(ref_value).alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("mine", F.lit(False))
     per = mine.union(theirs).groupBy("v").agg(F.sum("c").alias("c"), F.max("mine").alias("mine"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("below", F.coalesce(F.sum("c").over(run), F.lit(0)) / F.sum("c").over(Window.partitionBy())).where("mine")
-    return df.join(ranked.select(F.col("v").alias("r_v"), "below"), F.col(value) == F.col("r_v"), "left").drop("r_v")
+    at = running(per, ["v"], "c", "_before").withColumn("below", F.col("_before") / F.col("_total")).where("mine")
+    return df.join(at.select(F.col("v").alias("r_v"), "below"), F.col(value) == F.col("r_v"), "left").drop("r_v")
 
 
 def bands(df: DataFrame, value: str, edges: Sequence[float], measures: Sequence[Column]) -> DataFrame:

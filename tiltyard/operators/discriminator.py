@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from tiltyard.operators.metrics import auc, poisson_one
+from tiltyard.operators.metrics import auc, exact_percentiles, poisson_one
 
 
 @dataclass(frozen=True)
@@ -194,7 +194,7 @@ def linear(weights: dict[str, float], intercept: float) -> Column:
 def operating_point(df: DataFrame, score: Column, label: str, flag_rate: float) -> DataFrame:
     """One row: the real population's score that so many exceed, and the share of either population above it."""
     at = df.select(F.col(label).alias("label"), score.alias("s"))
-    threshold = at.where("label = 0").agg(F.percentile("s", F.lit(1 - flag_rate)).alias("threshold"))
+    threshold = exact_percentiles(at.where("label = 0"), F.col("s"), {"threshold": 1 - flag_rate})
     share = lambda k: F.avg(F.when(F.col("label") == k, (F.col("s") > F.col("threshold")).cast("int")))
     return at.crossJoin(F.broadcast(threshold)).groupBy("threshold").agg(share(0).alias("flag_rate_real"), share(1).alias("flag_rate_emitted"))
 

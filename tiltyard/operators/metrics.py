@@ -24,8 +24,12 @@ def auc(df: DataFrame, by: Sequence[str] = (), target: str = "target", probabili
     """
     y = F.col(target).cast("int")
     counts = df.groupBy(*by, clipped(F.col(probability)).alias("_p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / F.lit(2.0))
+    if by:
+        below = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    else:
+        counts = running(counts, ["_p"], "neg", "_below").drop("_total")
+    won = F.col("pos") * (F.col("_below") + F.col("neg") / F.lit(2.0))
     return counts.withColumn("won", won).groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 
@@ -62,7 +66,7 @@ def fixed_calibration(df: DataFrame, bins: int = 10, target: str = "target", pro
 def quantile_calibration(df: DataFrame, row_id: str, bins: int = 15, target: str = "target", probability: str = "probability") -> DataFrame:
     """Bins of equal counts by rank; the row id decides ties.
 
-    Ranks come from sorted ranges with their counts, so that no one task sorts all the rows.
+    Ranks come from sorted cells with their counts, so that no one task sorts all the rows.
     """
     placed = ranked(df.select(F.col(probability).alias("p"), F.col(target).cast("double").alias("y"), F.col(row_id).alias("id")), ["p", "id"])
     n, k = F.col("n"), F.least(F.lit(bins), F.col("n"))
@@ -73,17 +77,59 @@ def quantile_calibration(df: DataFrame, row_id: str, bins: int = 15, target: str
     return out.withColumn("absolute_error", F.abs(F.col("mean_prediction") - F.col("observed_rate")))
 
 
-def ranked(df: DataFrame, order: Sequence[str], cells: int = 1024) -> DataFrame:
-    """With each row's ``rank`` from 1 in a total order and ``n``, all rows: ranks within cells of the first
-    column's range, plus the rows of the cells before."""
-    first = F.col(order[0])
-    ends = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count(F.lit(1)).alias("n"))
-    cell = F.least(F.floor((first - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * cells), F.lit(cells - 1))
-    celled = df.crossJoin(F.broadcast(ends)).withColumn("cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("lo", "hi")
-    counts = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.select(F.col("cell").alias("c_cell"), F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("cell").orderBy(*order))
-    return celled.join(F.broadcast(counts), F.col("cell") == F.col("c_cell")).withColumn("rank", F.col("before") + within).drop("cell", "c_cell", "before")
+def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """With each row's ``rank`` from 1 in a total order and ``n``, all rows."""
+    out = running(df.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", "_before")
+    return out.withColumn("rank", F.col("_before") + 1).withColumn("n", F.col("_total")).drop("_one", "_before", "_total")
+
+
+def _place(row: tuple) -> list:
+    """Spark's order of a key: nulls, numbers and texts, not-a-number."""
+    return [(0, 0) if x is None else (2, 0) if x != x else (1, x) for x in row]
+
+
+def running(df: DataFrame, order: Sequence[str], weight: str, name: str, cells: int = 1024, sampled: int = 8192) -> DataFrame:
+    """With ``name``, the weight of all rows before this one in a total order, and ``_total``, that of all.
+
+    Rows go to cells between keys of a sample, those of least hash, in the full order; so cells hold about as many
+    rows each, however crowded one column is, as rows differ somewhere in it. Sums run within cells, over the cells
+    before.
+    """
+    some = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(sampled)
+    keys = sorted({tuple(r) for r in some.collect()}, key=_place)
+    kind = ", ".join(f"k{i}: {df.schema[c].dataType.simpleString()}" for i, c in enumerate(order))
+    cuts = [keys[i * len(keys) // cells] for i in range(1, cells) if i * len(keys) // cells > (i - 1) * len(keys) // cells]
+    step = max(1, math.isqrt(len(cuts)))
+    nested = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    table = df.sparkSession.createDataFrame([([c[0] for c in nested], nested)], f"_heads array<struct<{kind}>>, _cuts array<array<struct<{kind}>>>")
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    head = F.size(F.filter("_heads", lambda x: x <= key))
+    fine = F.size(F.filter(F.coalesce(F.get("_cuts", head - 1), F.array().cast(f"array<struct<{kind}>>")), lambda x: x <= key))
+    celled = df.crossJoin(F.broadcast(table)).withColumn("_cell", head * (step + 1) + fine).drop("_heads", "_cuts")
+    sums = celled.groupBy("_cell").agg(F.sum(weight).alias("_w"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most a row a cell
+    sums = sums.select(F.col("_cell").alias("_of_cell"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_to"), F.sum("_w").over(Window.partitionBy()).alias("_total"))
+    within = F.sum(weight).over(Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return celled.join(F.broadcast(sums), F.col("_cell") == F.col("_of_cell")).withColumn(name, F.col("_to") + F.coalesce(within, F.lit(0))).drop("_cell", "_of_cell", "_to")
+
+
+def exact_percentiles(df: DataFrame, value: Column, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """A row a group: exact percentiles with linear interpolation, from counts of distinct values and running sums,
+    so that no task has all of a group's values."""
+    counts = df.select(*by, value.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    at = running(counts, [*by, "_v"], "_c", "_before").drop("_total")
+    first = at.groupBy(*[F.col(b).alias(f"_by_{b}") for b in by]).agg(F.min("_before").alias("_first"), F.sum("_c").alias("_n"))
+    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+    at = at.join(first, same) if by else at.crossJoin(F.broadcast(first))
+    below = F.col("_before") - F.col("_first")
+
+    def pick(share: float) -> Column:
+        position = (F.col("_n") - 1) * F.lit(float(share))
+        here = lambda k: F.max(F.when((below <= k) & (k < below + F.col("_c")), F.col("_v")))
+        low, high, rest = here(F.floor(position)), here(F.ceil(position)), F.max(position - F.floor(position))
+        return F.when(rest == 0, low).otherwise((1 - rest) * low + rest * high)
+
+    return at.groupBy(*by).agg(*[pick(s).alias(n) for n, s in shares.items()])
 
 
 def expected_error(table: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiltyard.operators.metrics import exact_percentiles
+
 
 def near_decks(decks: DataFrame, changes: int, by: Sequence[str] = ("segment",), key: str = "deck_key", cards: str = "cards") -> DataFrame:
     """Pairs (deck, neighbour) of a group that differ by at most ``changes`` cards, either way round.
@@ -152,7 +154,7 @@ def spread(members: DataFrame, by: Sequence[str], member: str, probability: str,
 def quantile_table(df: DataFrame, value: str, measure: str, parts: int = 5) -> DataFrame:
     """Rows and mean measure by quantile of a value; the last edge belongs to the last part."""
     shares = [i / parts for i in range(1, parts)]
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(s) for s in shares])).alias("e"))
+    edges = exact_percentiles(df, F.col(value), {f"e{i}": s for i, s in enumerate(shares)}).select(F.array(*[f"e{i}" for i in range(len(shares))]).alias("e"))
     part = F.size(F.filter("e", lambda e: F.col(value) >= e))
     return df.crossJoin(F.broadcast(edges)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.avg(value).alias("mean_value"), F.avg(measure).alias("mean_measure"))
 

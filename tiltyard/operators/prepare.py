@@ -8,6 +8,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiltyard.operators.metrics import exact_percentiles
+
 
 def first_of(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in a total order. Aggregated before the shuffle, unlike a window: only the
@@ -37,9 +39,7 @@ def micros(time: Column) -> Column:
 
 def cutoffs(df: DataFrame, time: str = "battle_time", shares: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
     """One row (c1, c2): exact interpolated quantiles of the time, in seconds."""
-    seconds = micros(F.col(time)) / 1e6
-    both = F.percentile(seconds, F.array(*[F.lit(s) for s in shares]))
-    return df.agg(both.alias("c")).select(F.col("c")[0].alias("c1"), F.col("c")[1].alias("c2"))
+    return exact_percentiles(df, micros(F.col(time)) / 1e6, {"c1": shares[0], "c2": shares[1]})
 
 
 def split(df: DataFrame, cuts: DataFrame, time: str = "battle_time") -> DataFrame:

@@ -120,7 +120,8 @@ def calibrate(model: Model, validation: DataFrame, least: int = 2000, bias: bool
 
 def augmented(battles: DataFrame, seed: int = 0) -> DataFrame:
     """Each battle from one of its sides, drawn by a hash of its id and the epoch's seed."""
-    turn = F.pmod(F.xxhash64("game_id", F.lit(seed)), F.lit(2)) == 1
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("game_id").cast("string")).cast("binary"))
+    turn = F.coalesce(F.conv(F.substring(drawn, 1, 8), 16, 10).cast("bigint") % 2 == 1, F.lit(False))
     return battles.where(~turn).unionByName(swapped(battles.where(turn)))
 
 

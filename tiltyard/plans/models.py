@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from itertools import combinations
@@ -33,12 +32,9 @@ def register(name: str, sql: str | None = None):
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one of a local session."""
+    """A new folder that all executors share: under spark.checkpoint.dir, or in the warehouse where none is named."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        base = "file://" + tempfile.mkdtemp(prefix="tiltyard-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 # Parsing ---------------------------------------------------------------------------------------------
@@ -136,9 +132,9 @@ def swapped_battles(spark, sf_dir):
     return swapped(derived_battles(spark, sf_dir)).select("game_id", "team_deck_key", "opponent_deck_key", "team_card_ids", "win")
 
 
-@register("augmented_battles")
+@register("augmented_battles", f"{BASE}, t as (select *, cast(('0x' || substr(md5('3:' || game_id), 1, 8)) as bigint) % 2 = 1 turned from battles) select game_id, case when turned then opponent_deck_key else team_deck_key end team_deck_key, case when turned then team_deck_key else opponent_deck_key end opponent_deck_key, case when turned then opponent_card_ids else team_card_ids end team_card_ids, win <> turned win from t")
 def augmented_battles(spark, sf_dir):
-    return model.augmented(derived_battles(spark, sf_dir), 3)
+    return model.augmented(derived_battles(spark, sf_dir), 3).select("game_id", "team_deck_key", "opponent_deck_key", "team_card_ids", "win")
 
 
 @register("block_bootstrap")
@@ -247,9 +243,10 @@ def frontier(spark, sf_dir):
     return collect.extend(seeds, seen, collect.candidates(met, 5000), 1).where("hop = 1").select("tag", "band", "hop")
 
 
-@register("frontier_quota")
+@register("frontier_quota", "with e as (select event_id::varchar tag, event_type band, 0 hop, cast(('0x' || substr(md5(event_id::varchar), 1, 12)) as bigint) as position from events), q as (select band, greatest(round(100 * count(*)::double / sum(count(*)) over ()), 1) quota from e group by 1), r as (select *, row_number() over (partition by band order by position, tag) n from e) select tag, band, hop, position from r join q using (band) where n <= quota")
 def frontier_quota(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("tag"), F.col("event_type").alias("band"), F.lit(0).alias("hop"), F.xxhash64("event_id").alias("position"))
+    position = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 12), 16, 10).cast("bigint").alias("position")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("tag"), F.col("event_type").alias("band"), F.lit(0).alias("hop"), position)
     return collect.next_players(e, 100)
 
 
@@ -373,6 +370,10 @@ def ensemble_split_selection(spark, sf_dir):
     return rounded(discriminator.split_selection(c, "segment", "deck_key", "m", "s"), "promised", "observed")
 
 
-@register("even_files")
+@register("even_files", "select 12 files, count(*) n_rows, true even from orders")
 def even_files(spark, sf_dir):
-    return prepare.evened(spark.read.parquet(f"{sf_dir}/orders.parquet"), 12).groupBy(F.spark_partition_id().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    """How many files there are, of how many rows, and whether no two differ by more than the input's partitions."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    per = prepare.evened(orders, 12).groupBy(F.spark_partition_id().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    off = F.max("n") - F.min("n") <= orders.rdd.getNumPartitions()
+    return per.agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("n").alias("n_rows"), off.alias("even"))

@@ -79,10 +79,23 @@ def ece(spark, sf_dir):
     return rounded(fixed.crossJoin(metrics.expected_error(metrics.quantile_calibration(p, "game_id")).withColumnRenamed("ece", "quantile")), "fixed", "quantile")
 
 
-@register("calibration_line")
+# Newton's method in SQL: sums over equal probabilities, and a step of two numbers at a time.
+LINE_SQL = f"""{P_SQL.replace("with", "with recursive", 1)},
+ l as (select least(greatest(probability, 1e-6), 1 - 1e-6) q, target::int y from p),
+ g as (select ln(q / (1 - q)) x, count(*)::double n, sum(y)::double y from l group by 1),
+ it as (
+  select 0 k, 1.0::double s, 0.0::double i
+  union all
+  select k + 1, s + (a * r1 - b * r0) / (a * c - b * b), i + (c * r0 - b * r1) / (a * c - b * b) from (
+   select k, s, i, sum(y - n * f) r0, sum((y - n * f) * x) r1, sum(n * f * (1 - f)) a, sum(n * f * (1 - f) * x) b, sum(n * f * (1 - f) * x * x) c
+   from (select it.k, it.s, it.i, g.x, g.n, g.y, 1 / (1 + exp(-(it.s * g.x + it.i))) f from it, g where it.k < 25) group by k, s, i))
+select round(s, 6) slope, round(i, 6) intercept from it where k = 25"""
+
+
+@register("calibration_line", LINE_SQL)
 def calibration_line(spark, sf_dir):
     slope, intercept = metrics.calibration_line(predicted(spark, sf_dir))
-    return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
+    return rounded(spark.createDataFrame([(slope, intercept)], "slope double, intercept double"), "slope", "intercept")
 
 
 @register("bootstrap_intervals")
