@@ -126,8 +126,9 @@ def exact_percentiles(df: DataFrame, value: Column, shares: dict[str, float], by
     def pick(share: float) -> Column:
         position = (F.col("_n") - 1) * F.lit(float(share))
         here = lambda k: F.max(F.when((below <= k) & (k < below + F.col("_c")), F.col("_v")))
-        low, high, rest = here(F.floor(position)), here(F.ceil(position)), F.max(position - F.floor(position))
-        return F.when(rest == 0, low).otherwise((1 - rest) * low + rest * high)
+        low, high = here(F.floor(position)), here(F.ceil(position))
+        up, down = F.max(F.ceil(position) - position), F.max(position - F.floor(position))
+        return F.when(low == high, low).otherwise(up * low + down * high)
 
     return at.groupBy(*by).agg(*[pick(s).alias(n) for n, s in shares.items()])
 
