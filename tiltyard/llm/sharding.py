@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,10 @@ class Cut:
 
 def small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few rows a shard, sent to every task."""
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    columns = [c.split() for c in schema.split(", ")]
+    table = pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(columns)})
+    return F.broadcast(df.sparkSession.createDataFrame(table))  # a local relation, which takes no job
 
 
 def keyed(rows: DataFrame, dimensions: dict[int, int]) -> DataFrame:
