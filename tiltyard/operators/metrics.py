@@ -113,10 +113,17 @@ def running(df: DataFrame, order: Sequence[str], weight: str, name: str, cells:
     return celled.join(F.broadcast(sums), F.col("_cell") == F.col("_of_cell")).withColumn(name, F.col("_to") + F.coalesce(within, F.lit(0))).drop("_cell", "_of_cell", "_to")
 
 
+def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
+    return df.select(*by, value.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+
+
 def exact_percentiles(df: DataFrame, value: Column, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """A row a group: exact percentiles with linear interpolation, from counts of distinct values and running sums,
     so that no task has all of a group's values."""
-    counts = df.select(*by, value.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return percentiles_of(value_counts(df, value, by), shares, by)
+
+
+def percentiles_of(counts: DataFrame, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     at = running(counts, [*by, "_v"], "_c", "_before").drop("_total")
     first = at.groupBy(*[F.col(b).alias(f"_by_{b}") for b in by]).agg(F.min("_before").alias("_first"), F.sum("_c").alias("_n"))
     same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiltyard.operators.metrics import exact_percentiles
+from tiltyard.operators.metrics import percentiles_of, value_counts
 
 
 def first_of(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -39,7 +40,12 @@ def micros(time: Column) -> Column:
 
 def cutoffs(df: DataFrame, time: str = "battle_time", shares: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
     """One row (c1, c2): exact interpolated quantiles of the time, in seconds."""
-    return exact_percentiles(df, micros(F.col(time)) / 1e6, {"c1": shares[0], "c2": shares[1]})
+    counts = value_counts(df, micros(F.col(time)) / 1e6).persist()
+    try:  # two numbers, found now, so that plans that use them don't find them again
+        row = percentiles_of(counts, {"c1": shares[0], "c2": shares[1]}).first()
+    finally:
+        counts.unpersist()
+    return df.sparkSession.createDataFrame(pa.table({n: pa.array([row[n]], pa.float64()) for n in ("c1", "c2")}))
 
 
 def split(df: DataFrame, cuts: DataFrame, time: str = "battle_time") -> DataFrame:
