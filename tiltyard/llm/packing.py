@@ -83,7 +83,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     long document are sequences of their own. The other pieces are dealt by hash into blocks of about
     ``block`` sequences, however many documents there are, and each block is packed by differencing into the
     fewest windows that hold it. Each row of ``docs`` is a document, so repeated rows and null ids are packed
-    each time they occur; other columns are ignored; an empty table gives no row.
+    each time they occur; pieces of one length (ties) go by their rows' numbers; other columns are ignored; an empty
+    table gives no row.
     """
     file = TokenizerFile(docs, tokenizer)
 

@@ -115,7 +115,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, block: int = 512) -> DataF
     n_tokens, n_docs (documents of just this length), docs_below and docs_above, tokens_above (all tokens of
     longer documents), quantile (the share of documents of at most this length) and truncated_tokens (all
     tokens left when every document is cut at this length). Null and empty texts have length 0, repeated
-    rows count each, other columns are ignored, and an empty table gives no row.
+    rows and null ids count each, documents of one length (ties) share its row, long texts are encoded whole, other
+    columns are ignored, and an empty table gives no row.
 
     Suffix sums run within blocks of lengths, and over the blocks' totals, so that no one task holds all.
     """
