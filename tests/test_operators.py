@@ -228,3 +228,30 @@ def test_ranks_and_percentiles_of_crowded_columns(spark):
         assert [of[f"g{g}"][n] for n in "abc"] == pytest.approx(list(np.quantile(own, [0.1, 0.5, 0.9])))
     none = metrics.exact_percentiles(df.where("false"), F.col("v"), {"a": 0.5}).collect()
     assert [r.a for r in none] == [None]
+
+
+def test_most_played_neighbours(spark):
+    near = spark.createDataFrame([("s", "a", "b", 1), ("s", "a", "c", 1), ("s", "a", "d", 2), ("s", "b", "a", 1)], "segment string, deck string, neighbour string, changes int")
+    decks = spark.createDataFrame([("s", "a", 9), ("s", "b", 5), ("s", "c", 7), ("s", "d", 5)], "segment string, deck_key string, plays int")
+    got = neighbours.most_played(near, decks, 2).collect()
+    assert sorted((r.deck, r.neighbour, r.place) for r in got) == [("a", "b", 2), ("a", "c", 1), ("b", "a", 1)]
+
+
+def test_admission_intervals(spark):
+    rows = [(f"s{i}", f"d{j}", 0.1 * j, 10 * (4 - j), 0.3 + (0.05 * i if j == 1 else 0.0)) for i in range(8) for j in range(3)]
+    df = spark.createDataFrame(rows, "segment string, deck_key string, score double, train_n int, quality double")
+    got = {r.rule: r for r in neighbours.admission_intervals(df, {"all": "true", "many": "train_n >= 30", "none": "false"}, ["segment"], 100).collect()}
+    assert got["all"].low == got["all"].high == got["none"].delta == 0.0 and got["many"].samples == 100
+    assert abs(got["many"].delta - 0.05 * 3.5) < 1e-9 and 0 < got["many"].low < got["many"].delta < got["many"].high < 0.35
+
+
+def test_changes_and_largest(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, -5.0), ("b", 1, 3.0), ("b", 2, None)], "s string, t int, v double")
+    assert {(r.s, r.t): r.change for r in deck_stats.changes(df, "v", "t", ["s"]).collect()} == {("a", 1): None, ("a", 2): -7.0, ("b", 1): None, ("b", 2): None}
+    assert [(r.s, r.v) for r in deck_stats.largest(df, "v", 2, "s").collect()] == [("a", -5.0), ("b", 3.0)]
+
+
+def test_resolve_names(spark):
+    catalogue = spark.createDataFrame([(2, "Ice Spirit"), (1, "ice spirit"), (3, "Log")], "card int, name string")
+    got = composition.resolve(spark.createDataFrame([(" ICE-Spirit",), ("log ",), ("x",), (None,)], "name string"), catalogue).collect()
+    assert {r.name: r.card for r in got} == {" ICE-Spirit": 1, "log ": 3, "x": None, None: None}

@@ -119,3 +119,30 @@ def test_running_counts_equal_batch(spark, tmp_path, batches):
     got = {r.segment: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.segment: r["count"] for r in spark.read.parquet(str(tmp_path / "in")).groupBy("segment").count().collect()}
     assert got == want
+
+
+def test_pull_goes_on_where_it_ended(spark, tmp_path):
+    rows = [(1, "b"), (1, "a"), (2, "a"), (3, "c"), (None, "z")]
+    df = spark.createDataFrame(rows, "t int, k string")
+    path, cursor = str(tmp_path / "pages"), str(tmp_path / "cursor")
+    got = lambda: sorted((r.t, r.k) for r in files.pulled(spark, path, df.schema).collect())
+    assert files.pull(df, ("t", "k"), path, cursor, 1) == 1 and got() == [(1, "a")]
+    assert files.pull(df, ("t", "k"), path, cursor, 2) == 2 and got() == [(1, "a"), (1, "b"), (2, "a")]
+    before = spark.read.parquet(cursor).first()
+    assert files.pull(df, ("t", "k"), path, cursor) == 1 and files.pull(df, ("t", "k"), path, cursor) == 0
+    # a pull whose cursor never moved is done again without rows twice
+    files.replace(spark.createDataFrame([before], df.schema), cursor)
+    more = df.union(spark.createDataFrame([(4, "a")], df.schema))
+    assert files.pull(more, ("t", "k"), path, cursor) == 2 and got() == [(1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "a")]
+
+
+def test_pull_of_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "t int, k string")
+    assert files.pull(df, ("t", "k"), str(tmp_path / "p"), str(tmp_path / "c")) == 0
+    assert not os.path.exists(tmp_path / "c") and files.pulled(spark, str(tmp_path / "p"), df.schema).count() == 0
+
+
+def test_vectors_of_another_length(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id int, v array<double>").write.parquet(str(tmp_path / "v"))
+    with pytest.raises(ValueError, match="1 vectors"):
+        files.vectors(spark, str(tmp_path / "v"), "v", 2)

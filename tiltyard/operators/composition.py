@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiltyard.functions.decks import slug
+
 _f = F.col
 
 # The candidate rules and the two envelopes, over a deck's features.
@@ -37,6 +39,12 @@ def with_catalogue(decks: DataFrame, catalogue: DataFrame, key: Sequence[str] =
     return each.join(F.broadcast(catalogue), _f("_card") == _f("card"), "left")
 
 
+def resolve(names: DataFrame, catalogue: DataFrame, name: str = "name", card: str = "card") -> DataFrame:
+    """Each name's card by its slug (the least of several), or null; spelling in case, spaces and hyphens is one."""
+    known = catalogue.groupBy(slug(F.col(name)).alias("_slug")).agg(F.min(card).alias(card))
+    return names.withColumn("slug", slug(F.col(name))).join(known, F.col("slug") == F.col("_slug"), "left").drop("_slug")
+
+
 def features(decks: DataFrame, catalogue: DataFrame, key: Sequence[str] = ("deck_key",), cards: str = "cards") -> DataFrame:
     """Thirteen numbers of a deck; cards without elixir count in none of the elixir ones."""
     each = with_catalogue(decks, catalogue, key, cards)

@@ -123,6 +123,17 @@ def name(share: float) -> str:
     return f"p{digits[:2] if digits.endswith('0') else digits}"
 
 
+def changes(df: DataFrame, value: str, order: str, by: Sequence[str]) -> DataFrame:
+    """What a value gained since the row before it of its group; the first has none. For short series: a group's rows
+    are one task's."""
+    return df.withColumn("change", F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(order)))
+
+
+def largest(df: DataFrame, value: str, rows: int, *ties: str) -> DataFrame:
+    """The rows of the largest values of either sign: a top-k."""
+    return df.where(F.col(value).isNotNull()).orderBy(F.desc(F.round(F.abs(value), 9)), *ties).limit(rows)
+
+
 def share_below(df: DataFrame, value: str, reference: DataFrame, ref_value: str) -> DataFrame:
     """For each row, the share of reference values below it: counts of distinct values, a running sum and a
     join on the value, instead of every row against all the reference."""

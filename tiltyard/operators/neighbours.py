@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tiltyard.operators.metrics import exact_percentiles
 
 
+POISSON_ONE = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]  # shares of draws up to k
+
+
 def near_decks(decks: DataFrame, changes: int, by: Sequence[str] = ("segment",), key: str = "deck_key", cards: str = "cards") -> DataFrame:
     """Pairs (deck, neighbour) of a group that differ by at most ``changes`` cards, either way round.
 
@@ -55,6 +59,15 @@ def pools(decks: DataFrame, seeds: DataFrame, changes: int, by: str = "segment",
     return met.union(own.select("s_by", "s_key", "s_key"))
 
 
+def most_played(near: DataFrame, decks: DataFrame, rows: int, by: str = "segment", key: str = "deck_key", plays: str = "plays") -> DataFrame:
+    """The so many most-played neighbours of each deck; ties by their key. Spark cuts each task's lists to that
+    length before it shuffles them."""
+    known = decks.select(F.col(by).alias("n_by"), F.col(key).alias("n_key"), F.col(plays).alias("plays"))
+    met = near.join(known, (F.col(by) == F.col("n_by")) & (F.col("neighbour") == F.col("n_key"))).drop("n_by", "n_key")
+    place = F.row_number().over(Window.partitionBy(by, "deck").orderBy(F.desc("plays"), "neighbour"))
+    return met.withColumn("place", place).where(F.col("place") <= rows)
+
+
 def containing(decks: DataFrame, locked: Column, without: Column, cards: str = "cards") -> DataFrame:
     """Decks that hold all locked cards and none of the others."""
     return decks.where((F.size(F.array_except(locked, F.col(cards))) == 0) & ~F.arrays_overlap(F.col(cards), without))
@@ -98,6 +111,29 @@ def admission(candidates: DataFrame, rules: dict[str, str], by: Sequence[str], q
     )
 
 
+def admission_intervals(candidates: DataFrame, rules: dict[str, str], by: Sequence[str], samples: int = 200, seed: int = 7, quality: str = "quality", score: str = "score", support: str = "train_n", key: str = "deck_key") -> DataFrame:
+    """How sure an admission rule's gain is: the paired bootstrap of what its winners hold beyond the unrestricted
+    ones, search by search, with the 2.5th and 97.5th percentile.
+
+    Poisson bootstrap: a search counts in a sample as often as a draw from the MD5 of seed, sample and search, the
+    same for all rules, so that rules are compared on the same samples and no task needs them all. Searches multiply
+    by ``samples`` before they are summed where they are.
+    """
+    order = F.struct(F.col(score), F.col(support), F.col(key))
+    names = list(rules)
+    pool = candidates.groupBy(*by).agg(F.max_by(quality, order).alias("free"), *[F.max_by(quality, F.when(F.expr(rules[n]), order)).alias(f"w{i}") for i, n in enumerate(names)])
+    tests = F.array(*[F.struct(F.lit(n).alias("rule"), (F.coalesce(F.col(f"w{i}"), F.col("free")) - F.col("free")).alias("delta")) for i, n in enumerate(names)])
+    drawn = pool.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    said = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), *[F.col(b).cast("string") for b in by]).cast("binary"))
+    u = F.conv(F.substring(said, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    drawn = drawn.withColumn("copies", sum((u >= c).cast("int") for c in POISSON_ONE))
+    each = drawn.select("sample", "copies", F.explode(tests).alias("t")).groupBy("t.rule", "sample").agg((F.sum(F.col("copies") * F.col("t.delta")) / F.nullif(F.sum("copies"), F.lit(0))).alias("mean"))
+    at = lambda p: F.percentile("mean", F.lit(p))  # noqa: E731  (as many values as samples)
+    ends = each.groupBy("rule").agg(at(0.025).alias("low"), at(0.975).alias("high"), F.count("mean").alias("samples"))
+    found = pool.select(F.explode(tests).alias("t")).groupBy(F.col("t.rule").alias("_rule")).agg(F.avg("t.delta").alias("delta"))
+    return ends.join(found, F.col("rule") == F.col("_rule")).select("rule", "delta", "low", "high", "samples")
+
+
 def selection_curse(candidates: DataFrame, sizes: Sequence[int], by: str = "segment", score: str = "score", truth: str = "truth", key: str = "deck_key") -> DataFrame:
     """What the best-scored of N random candidates promises and holds, in the mean over all subsets.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from itertools import combinations
 
@@ -14,7 +13,8 @@ from tiltyard.operators import composition, correction, deck_stats, discriminato
 from tiltyard.plans import encode, model, reports, search
 from tiltyard.plans.reports import DECKS_SQL, SEG_DECKS_SQL, catalogue_of, segment_decks
 from tiltyard.plans.tables import BANDS, BASE, SPLIT_SQL, rounded, split_battles
-from tiltyard.sources.battles import derived_battles, swapped
+from tiltyard.sources import files
+from tiltyard.sources.battles import card_universe, derived_battles, sides, swapped
 from tiltyard.streaming import collect
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +31,6 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or in the warehouse where none is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 # Parsing ---------------------------------------------------------------------------------------------
 
 
@@ -79,9 +73,9 @@ def game_ids(spark, sf_dir):
 ELIXIR_SQL = "values " + ", ".join(f"({k}, {v})" for k, v in sorted(cards.ELIXIR.items()))
 
 
-@register("deck_elixir", f"{DECKS_SQL}, el as (select col0 card, col1 elixir from ({ELIXIR_SQL}) t(col0, col1)), u as (select deck_key, 26000000 + unnest(cards) * 13 card from decks) select deck_key, cast(sum(coalesce(elixir, 0)) as bigint) elixir, round(avg(elixir), 6) average, count(*) filter (elixir is null) unknown_cards from u left join el using (card) group by 1")
+@register("deck_elixir", f"{DECKS_SQL}, el as (select col0 card, col1 elixir from ({ELIXIR_SQL}) t(col0, col1)), u as (select deck_key, 26000000 + unnest(cards) % 130 card from decks) select deck_key, cast(sum(coalesce(elixir, 0)) as bigint) elixir, round(avg(elixir), 6) average, count(*) filter (elixir is null) unknown_cards from u left join el using (card) group by 1")
 def deck_elixir(spark, sf_dir):
-    each = reports.decks_of(spark, sf_dir).select("deck_key", F.explode("cards").alias("c")).withColumn("cost", cards.elixir(F.lit(26000000) + F.col("c") * 13))
+    each = reports.decks_of(spark, sf_dir).select("deck_key", F.explode("cards").alias("c")).withColumn("cost", cards.elixir(F.lit(26000000) + F.col("c") % 130))
     known = F.when(F.col("cost") > 0, F.col("cost"))
     return rounded(each.groupBy("deck_key").agg(F.sum("cost").alias("elixir"), F.avg(known).alias("average"), F.count_if(known.isNull()).alias("unknown_cards")), "average")
 
@@ -145,30 +139,33 @@ def block_bootstrap(spark, sf_dir):
 # Searches --------------------------------------------------------------------------------------------
 
 
-@register("deck_changes", f"{SEG_DECKS_SQL}, s as (select distinct cards from sd where plays >= 5 and len(cards) = 4), e as (select cards, unnest(cards) old from s), n as (select cards, old, p.new from e, (select unnest([1, 2, 6, 8, 9]) as new) p where not list_contains(cards, p.new)) select distinct list_sort(list_append(list_filter(cards, lambda x: x <> old), new)) cards from n")
+@register("deck_changes", f"{SEG_DECKS_SQL}, s as (select distinct cards from sd where len(cards) = 2), e as (select cards, unnest(cards) old from s), n as (select cards, old, p.new from e, (select unnest([1, 2, 6, 8, 9]) as new) p where not list_contains(cards, p.new)) select distinct list_sort(list_append(list_filter(cards, lambda x: x <> old), new)) cards from n")
 def deck_changes(spark, sf_dir):
-    start = segment_decks(spark, sf_dir).where((F.col("plays") >= 5) & (F.size("cards") == 4)).select("cards").distinct()
+    start = segment_decks(spark, sf_dir).where(F.size("cards") == 2).select("cards").distinct()
     return search.neighbours_of(start, spark.createDataFrame([(c,) for c in (1, 2, 6, 8, 9)], "card int"))
 
 
 @register("beam_search")
 def beam_search(spark, sf_dir):
-    """Decks of five of ten cards that beat the most-played ones best, by the cards' own win rates."""
-    b = derived_battles(spark, sf_dir, 10)
-    from tiltyard.sources.battles import sides
+    """Decks of five cards that beat the most-played ones best, by the cards' own win rates."""
+    s = sides(derived_battles(spark, sf_dir, card_universe(spark, sf_dir)))
+    rate = s.select("won", F.explode("cards").alias("c")).groupBy("c").agg(F.avg(F.col("won").cast("int")).alias("rate")).cache()
+
+    def score(d: DataFrame) -> DataFrame:
+        each = d.select("cards", F.explode("cards").alias("c")).join(rate, "c")
+        return each.groupBy("cards").agg(F.round(F.avg("rate"), 9).alias("score"))
 
-    rate = sides(b).select("won", F.explode("cards").alias("c")).groupBy("c").agg(F.avg(F.col("won").cast("int")).alias("rate"))
-    table = F.create_map(*[F.lit(v) for r in rate.collect() for v in (r["c"], r["rate"])])  # ten cards
-    score = lambda d: d.withColumn("score", F.round(F.aggregate("cards", F.lit(0.0), lambda a, c: a + F.element_at(table, c)) / F.size("cards"), 9))
-    start = segment_decks(spark, sf_dir).where(F.size("cards") == 5).select("cards").distinct()
-    return search.beam(start, spark.createDataFrame([(i,) for i in range(10)], "card int"), score, 4, 12, F.size(F.array_intersect("cards", F.array(F.lit(0), F.lit(4)))) <= 1)
+    start = s.where(F.size("cards") == 5).select("cards").distinct()
+    out = search.beam(start, rate.select(F.col("c").alias("card")), score, 4, 12, F.size(F.array_intersect("cards", F.array(F.lit(0), F.lit(4)))) <= 1)
+    rate.unpersist()
+    return out
 
 
 @register("card_numbers")
 def card_numbers(spark, sf_dir):
-    """The 45 numbers of a small catalogue in all forms."""
+    """The 45 numbers of the catalogue in all forms."""
     rows = catalogue_of(spark, sf_dir).select(
-        F.col("card"), F.when(F.col("kind") == "troop", "troop").otherwise(F.col("kind")).alias("type"), F.element_at(F.array(*[F.lit(r) for r in cards.named("tag")[:10]]), (F.col("card") + 1).cast("int")).alias("role"),
+        F.col("card"), F.when(F.col("kind") == "troop", "troop").otherwise(F.col("kind")).alias("type"), F.element_at(F.array(*[F.lit(r) for r in cards.named("tag")[:10]]), (F.col("card") % 10 + 1).cast("int")).alias("role"),
         F.array(F.lit("splash")).alias("flags"), *[(F.col("card") % 6).cast("int").alias(n) for n in ("hitpoints", "damage", "dps", "speed", "range")], F.create_map(F.lit("damage"), F.lit(-1)).alias("nudges"),
         F.when(F.col("card") == 1, F.struct(F.lit(2).alias("cost"), F.array(F.lit("ability_dash")).alias("tags"))).alias("champion_ability"), F.when(F.col("card") == 2, F.struct(F.lit(3).alias("cost"), F.array(F.lit("ability_spawn")).alias("tags"))).alias("hero_ability"),
         F.when(F.col("card") == 3, F.struct(F.lit(2).alias("cycle"), F.array(F.lit("evo_buff")).alias("tags"))).alias("evolution"),
@@ -186,7 +183,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    path, schema = work_dir(spark), stream.schema
+    path, schema = files.work_dir(spark), stream.schema
     collect.drain(stream, f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema(schema).parquet(f"{path}/out")
 
@@ -204,7 +201,7 @@ def stream_fresh(spark, sf_dir):
 
 @register("stream_segment_counts", "select event_type, count(*) n from events group by 1")
 def stream_segment_counts(spark, sf_dir):
-    path = work_dir(spark)
+    path = files.work_dir(spark)
     counts = collect.running_counts(event_stream(spark, sf_dir), "event_type")
     counts.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{path}/out")
@@ -212,7 +209,7 @@ def stream_segment_counts(spark, sf_dir):
 
 @register("stream_archive", "select event_id, user_id from events")
 def stream_archive(spark, sf_dir):
-    path = work_dir(spark)
+    path = files.work_dir(spark)
     order = []
 
     def write(batch, number):
@@ -253,7 +250,7 @@ def frontier_quota(spark, sf_dir):
 @register("incremental_ids", "select event_id from events")
 def incremental_ids(spark, sf_dir):
     """Two runs of one drain: the second finds nothing new."""
-    path = work_dir(spark)
+    path = files.work_dir(spark)
     for _ in range(2):
         collect.drain(event_stream(spark, sf_dir).select("event_id"), f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema("event_id bigint").parquet(f"{path}/out")
@@ -288,7 +285,7 @@ PROFILE = ("hits_air", "air_unit", "elixir_mean", "elixir_std", "role:anti-air",
 
 def two_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of often-played decks (0) and of seldom-played ones (1)."""
-    d = reports.decks_of(spark, sf_dir)
+    d = reports.decks_of(spark, sf_dir, card_universe(spark, sf_dir))
     f = composition.profile(d, catalogue_of(spark, sf_dir), reports.PROFILE_ROLES, reports.PROFILE_KINDS, ("deck_key", "plays"))
     return f.withColumn("emitted", (F.col("plays") < 8).cast("int"))
 

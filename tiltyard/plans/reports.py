@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tiltyard.functions.decks import deck_cards
 from tiltyard.operators import composition, cooccurrence, correction, deck_stats, metrics, neighbours, prepare, prior
 from tiltyard.plans.tables import BASE, KEY_SQL, PLAYS_SQL, SPLIT_SQL, WITH_SIDES, plays_of, rounded, split_battles
-from tiltyard.sources.battles import PREDICTIONS_SQL, battles_sql, derived_battles, matchup_key, predictions, sides, swapped
+from tiltyard.sources.battles import GROWING, PREDICTIONS_SQL, battles_sql, card_universe, derived_battles, matchup_key, predictions, sides, swapped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,10 +151,10 @@ def calibration_variants(spark, sf_dir):
 
 # Cards together --------------------------------------------------------------------------------------
 
-DECKS_SQL = f"with {battles_sql(10)}, ds as (select segment, team_deck_key deck_key, team_card_ids cards from battles union all select segment, opponent_deck_key, opponent_card_ids from battles), decks as (select deck_key, any_value(cards) cards, count(*) plays from ds group by 1)"
+DECKS_SQL = f"with {battles_sql(None)}, ds as (select segment, team_deck_key deck_key, team_card_ids cards from battles union all select segment, opponent_deck_key, opponent_card_ids from battles), decks as (select deck_key, any_value(cards) cards, count(*) plays from ds group by 1)"
 
 
-def decks_of(spark: SparkSession, sf_dir: str, universe: int = 10) -> DataFrame:
+def decks_of(spark: SparkSession, sf_dir: str, universe: int | None = None) -> DataFrame:
     return sides(derived_battles(spark, sf_dir, universe)).groupBy("deck_key").agg(F.first("cards").alias("cards"), F.count(F.lit(1)).alias("plays"))
 
 
@@ -187,27 +187,28 @@ def ppmi(spark, sf_dir):
 
 @register("card_embeddings")
 def card_embeddings(spark, sf_dir):
-    cards, vectors = cooccurrence.embeddings(cooccurrence.pair_counts(decks_of(spark, sf_dir)), 4)
+    cards, vectors = cooccurrence.embeddings(cooccurrence.pair_counts(decks_of(spark, sf_dir, 120)), 4)
     return spark.createDataFrame([(int(c), [float(x) for x in v]) for c, v in zip(cards, vectors)], "card bigint, vector array<double>")
 
 
+MET_SQL = DECKS_SQL.replace(battles_sql(None), battles_sql(GROWING))  # decks that meet again
 GROUPS_SQL = "e as (select deck_key, plays, unnest(cards) c from decks), gr as (select x.deck_key, x.plays, x.c || ',' || y.c || ',' || z.c card_group from e x join e y on x.deck_key = y.deck_key and x.c < y.c join e z on y.deck_key = z.deck_key and y.c < z.c), gc as (select card_group, cast(sum(plays) as bigint) n from gr group by 1)"
 
 
-@register("triple_groups", f"{DECKS_SQL}, {GROUPS_SQL} select * from gc")
+@register("triple_groups", f"{MET_SQL}, {GROUPS_SQL} select * from gc")
 def triple_groups(spark, sf_dir):
-    return cooccurrence.group_counts(decks_of(spark, sf_dir), 3)
+    return cooccurrence.group_counts(decks_of(spark, sf_dir, card_universe(spark, sf_dir)), 3)
 
 
-@register("unattested_groups", f"{DECKS_SQL}, {GROUPS_SQL} select deck_key, count(*) as groups, count(*) filter (n < 400) unattested, min(n) weakest from gr join gc using (card_group) group by 1")
+@register("unattested_groups", f"{MET_SQL}, {GROUPS_SQL} select deck_key, count(*) as groups, count(*) filter (n < 8) unattested, min(n) weakest from gr join gc using (card_group) group by 1")
 def unattested_groups(spark, sf_dir):
-    d = decks_of(spark, sf_dir)
-    return cooccurrence.unattested(d, cooccurrence.group_counts(d, 3), 3, 400)
+    d = decks_of(spark, sf_dir, card_universe(spark, sf_dir))
+    return cooccurrence.unattested(d, cooccurrence.group_counts(d, 3), 3, 8)
 
 
-@register("attested_groups", f"{DECKS_SQL}, {GROUPS_SQL.replace('from decks)', 'from decks where plays >= 40)')} select distinct card_group from gr")
+@register("attested_groups", f"{MET_SQL}, {GROUPS_SQL.replace('from decks)', 'from decks where plays >= 2)')} select distinct card_group from gr")
 def attested_groups(spark, sf_dir):
-    return cooccurrence.attested(decks_of(spark, sf_dir), 3, 40)
+    return cooccurrence.attested(decks_of(spark, sf_dir, card_universe(spark, sf_dir)), 3, 2)
 
 
 # Composition -----------------------------------------------------------------------------------------
@@ -217,13 +218,13 @@ CATALOGUE_SQL = (
     "cat as (select p_partkey card, list_filter(["
     + ", ".join(f"case when {t.replace('c ', 'p_partkey ')} then '{r}' end" for r, t in ROLE_RULES)
     + ", 'role-' || p_partkey], lambda x: x is not null) roles, case p_partkey % 5 when 1 then 'spell' when 2 then 'spell' when 3 then 'building' else 'troop' end kind, "
-    "case p_partkey % 2 when 0 then 'air-and-ground' else 'ground' end targets, case p_partkey % 3 when 0 then 'air' else 'ground' end transport, p_size % 7 elixir from part where p_partkey < 9)"
+    "case p_partkey % 2 when 0 then 'air-and-ground' else 'ground' end targets, case p_partkey % 3 when 0 then 'air' else 'ground' end transport, p_size % 7 elixir from part)"
 )
 
 
 def catalogue_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine cards made from parts; the tenth card of the decks is unknown."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 9").withColumn("c", F.col("p_partkey"))
+    """A card made from every part."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("c", F.col("p_partkey"))
     roles = F.array_compact(F.array(*[F.when(F.expr(t), r) for r, t in ROLE_RULES], F.concat(F.lit("role-"), F.col("c").cast("string"))))
     kind = F.when(F.expr("c % 5 in (1, 2)"), "spell").when(F.expr("c % 5 = 3"), "building").otherwise("troop")
     return p.select(F.col("c").alias("card"), roles.alias("roles"), kind.alias("kind"), F.when(F.expr("c % 2 = 0"), "air-and-ground").otherwise("ground").alias("targets"), F.when(F.expr("c % 3 = 0"), "air").otherwise("ground").alias("transport"), (F.col("p_size") % 7).alias("elixir"))
@@ -272,15 +273,25 @@ def knn_novelty(spark, sf_dir):
     return composition.nearest(e, e, 25).withColumn("distance", F.round("distance", 5))
 
 
+@register("card_names", "with n as (select l_orderkey, l_linenumber, '  ' || upper(p_name) || case when l_linenumber = 7 then ' ?' else ' ' end as name from lineitem join part on l_partkey = p_partkey), c as (select replace(lower(trim(p_name)), ' ', '-') slug, min(p_partkey) card from part group by 1) select l_orderkey, l_linenumber, slug, card from (select *, replace(lower(trim(name)), ' ', '-') slug from n) left join c using (slug)")
+def card_names(spark, sf_dir):
+    """Names as somebody writes them, and the cards that they mean."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("card"), F.col("p_name").alias("name"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    written = F.concat(F.lit("  "), F.upper("name"), F.when(F.col("l_linenumber") == 7, " ?").otherwise(" "))
+    names = lines.join(part, F.col("l_partkey") == F.col("card")).select("l_orderkey", "l_linenumber", written.alias("name"))
+    return composition.resolve(names, part).drop("name")
+
+
 # Neighbours and selection ----------------------------------------------------------------------------
 
-SEG_DECKS_SQL = f"with {battles_sql(10)}, ds as (select segment, team_deck_key deck_key, team_card_ids cards, win won from battles union all select segment, opponent_deck_key, opponent_card_ids, not win from battles), sd as (select segment, deck_key, any_value(cards) cards, count(*) plays, cast(sum(won::int) as bigint) wins from ds group by all having count(*) >= 4)"
+SEG_DECKS_SQL = f"with {battles_sql(GROWING)}, ds as (select segment, team_deck_key deck_key, team_card_ids cards, win won from battles union all select segment, opponent_deck_key, opponent_card_ids, not win from battles), sd as (select segment, deck_key, any_value(cards) cards, count(*) plays, cast(sum(won::int) as bigint) wins from ds group by all having count(*) >= 2)"
 NEAR_SQL = "nr as (select a.segment, a.deck_key deck, b.deck_key neighbour, cast(greatest(len(a.cards), len(b.cards)) - len(list_intersect(a.cards, b.cards)) as int) changes from sd a join sd b on a.segment = b.segment and a.deck_key <> b.deck_key where greatest(len(a.cards), len(b.cards)) - len(list_intersect(a.cards, b.cards)) <= 2)"
 
 
 def segment_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sides(derived_battles(spark, sf_dir, 10))
-    return s.groupBy("segment", "deck_key").agg(F.first("cards").alias("cards"), F.count(F.lit(1)).alias("plays"), F.count_if("won").alias("wins")).where("plays >= 4")
+    s = sides(derived_battles(spark, sf_dir, card_universe(spark, sf_dir)))
+    return s.groupBy("segment", "deck_key").agg(F.first("cards").alias("cards"), F.count(F.lit(1)).alias("plays"), F.count_if("won").alias("wins")).where("plays >= 2")
 
 
 @register("near_decks", f"{SEG_DECKS_SQL}, {NEAR_SQL} select * from nr")
@@ -288,20 +299,26 @@ def near_decks(spark, sf_dir):
     return neighbours.near_decks(segment_decks(spark, sf_dir), 2)
 
 
-@register("neighbour_feasibility", f"{SEG_DECKS_SQL}, {NEAR_SQL}, c as (select s.segment, k.k changes, s.deck_key, count(n.deck) n from sd s cross join (select unnest([1, 2]) k) k left join (select nr.* from nr join sd w on nr.segment = w.segment and nr.neighbour = w.deck_key where w.plays >= 6) n on n.segment = s.segment and n.deck = s.deck_key and n.changes <= k.k group by all) select segment, cast(changes as int) changes, count(*) seeds, round(quantile_cont(n, 0.5), 6) median, round(quantile_cont(n, 0.1), 6) p10, round(quantile_cont(n, 0.9), 6) p90, round(avg((n = 0)::int), 6) share_none from c group by all")
+@register("most_played_neighbours", f"{SEG_DECKS_SQL}, {NEAR_SQL}, ml as (select nr.*, plays, row_number() over (partition by nr.segment, nr.deck order by plays desc, nr.neighbour) place from nr join sd on nr.segment = sd.segment and nr.neighbour = sd.deck_key) select *  from ml where place <= 20")
+def most_played_neighbours(spark, sf_dir):
+    d = segment_decks(spark, sf_dir)
+    return neighbours.most_played(neighbours.near_decks(d, 2), d, 20)
+
+
+@register("neighbour_feasibility", f"{SEG_DECKS_SQL}, {NEAR_SQL}, c as (select s.segment, k.k changes, s.deck_key, count(n.deck) n from sd s cross join (select unnest([1, 2]) k) k left join (select nr.* from nr join sd w on nr.segment = w.segment and nr.neighbour = w.deck_key where w.plays >= 3) n on n.segment = s.segment and n.deck = s.deck_key and n.changes <= k.k group by all) select segment, cast(changes as int) changes, count(*) seeds, round(quantile_cont(n, 0.5), 6) median, round(quantile_cont(n, 0.1), 6) p10, round(quantile_cont(n, 0.9), 6) p90, round(avg((n = 0)::int), 6) share_none from c group by all")
 def neighbour_feasibility(spark, sf_dir):
-    return rounded(neighbours.feasibility(segment_decks(spark, sf_dir), 2, 6), "median", "p10", "p90", "share_none")
+    return rounded(neighbours.feasibility(segment_decks(spark, sf_dir), 2, 3), "median", "p10", "p90", "share_none")
 
 
-@register("search_pools", f"{SEG_DECKS_SQL}, {NEAR_SQL} select nr.segment, deck pool_id, neighbour candidate from nr join sd on nr.segment = sd.segment and nr.deck = sd.deck_key and sd.plays >= 7 union all select segment, deck_key, deck_key from sd where plays >= 7")
+@register("search_pools", f"{SEG_DECKS_SQL}, {NEAR_SQL} select nr.segment, deck pool_id, neighbour candidate from nr join sd on nr.segment = sd.segment and nr.deck = sd.deck_key and sd.plays >= 4 union all select segment, deck_key, deck_key from sd where plays >= 4")
 def search_pools(spark, sf_dir):
     d = segment_decks(spark, sf_dir)
-    return neighbours.pools(d, d.where("plays >= 7"), 2)
+    return neighbours.pools(d, d.where("plays >= 4"), 2)
 
 
-@register("locked_search", f"{SEG_DECKS_SQL} select segment, deck_key from sd where list_has_all(cards, [1, 2]) and not list_has_any(cards, [7, 9])")
+@register("locked_search", f"{SEG_DECKS_SQL} select segment, deck_key from sd where list_has_all(cards, [1]) and not list_has_any(cards, [7, 9])")
 def locked_search(spark, sf_dir):
-    return neighbours.containing(segment_decks(spark, sf_dir), F.array(F.lit(1), F.lit(2)), F.array(F.lit(7), F.lit(9))).select("segment", "deck_key")
+    return neighbours.containing(segment_decks(spark, sf_dir), F.array(F.lit(1)), F.array(F.lit(7), F.lit(9))).select("segment", "deck_key")
 
 
 CAND_SQL = f"{PLAYS_SQL}, ca as (select segment, deck_key, plays train_n, wins::double / plays score, (wins + 10.0::double) / (plays + 20) quality, case when plays >= 60 then 0.05::double else 0.12::double end sigma from plays)"
@@ -337,6 +354,14 @@ def admission_rules(spark, sf_dir):
     return rounded(out, *[c for c in out.columns if c not in ("rule", "searches")])
 
 
+POISSON = " + ".join(f"(u >= {c!r}::double)::int" for c in neighbours.POISSON_ONE)
+
+
+@register("admission_intervals", f"{ADMIT_SQL}, dt as (select rule, segment, q - fq d from al), sm as (select *, {POISSON} copies from (select dt.*, s, cast(('0x' || substr(md5('7:' || s || ':' || segment), 1, 12)) as bigint)::double / 281474976710656::double u from dt, range(1, 201) t(s))), mn as (select rule, s, sum(copies * d) / nullif(sum(copies), 0) m from sm group by all) select rule, round(any_value(x.delta), 6) delta, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high, count(m) samples from mn join (select rule, avg(d) delta from dt group by 1) x using (rule) group by 1")
+def admission_intervals(spark, sf_dir):
+    return rounded(neighbours.admission_intervals(candidates(spark, sf_dir), RULES, ["segment"]), "delta", "low", "high")
+
+
 CURSE_SQL = f"{CAND_SQL}, rk as (select *, row_number() over (partition by segment order by score desc, deck_key) r, count(*) over (partition by segment) n from ca), pb as (select rk.*, s.s, exp(lgamma(n - r + 1) - lgamma(s.s) - lgamma(n - r - s.s + 2) - lgamma(n + 1) + lgamma(s.s + 1) + lgamma(n - s.s + 1)) p from rk, (select unnest([1, 2, 5, 10, 30]) s) s where s.s <= n and n - r >= s.s - 1)"
 
 
@@ -450,6 +475,12 @@ def prior_matrix(spark, sf_dir):
     return rounded(prior.matrix(keyed(train), keyed(swapped(train))), "delta", "weight")
 
 
+@register("largest_priors", f"{PRIOR_SQL} select level, key, round(delta, 6) delta from mx order by round(abs(delta), 9) desc, level, key limit 15")
+def largest_priors(spark, sf_dir):
+    train = split_battles(spark, sf_dir).where("split = 'train'").drop("split")
+    return rounded(deck_stats.largest(prior.matrix(keyed(train), keyed(swapped(train))), "delta", 15, "level", "key").select("level", "key", "delta"), "delta")
+
+
 def with_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = split_battles(spark, sf_dir)
     train = b.where("split = 'train'").drop("split")

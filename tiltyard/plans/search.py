@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def neighbours_of(decks: DataFrame, pool: DataFrame, cards: str = "cards") -> DataFrame:
-    """Every deck with one card changed for one of the pool's (card), each set of cards once. The pool is short."""
+    """Every deck with one card changed for one of the pool's (card), each set of cards once. Spark
+    broadcasts the pool where it is short."""
     slots = decks.select(cards, F.posexplode(cards).alias("slot", "old"))
-    swapped = slots.join(F.broadcast(pool.select(F.col("card").alias("new"))), ~F.array_contains(F.col(cards), F.col("new")))
+    swapped = slots.join(pool.select(F.col("card").alias("new")), ~F.array_contains(F.col(cards), F.col("new")))
     changed = F.array_sort(F.concat(F.array_except(F.col(cards), F.array("old")), F.array("new")))
     return swapped.select(changed.alias(cards)).distinct()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tiltyard.functions import decks, labels, segments
 from tiltyard.operators import deck_stats, prepare, unseen
 from tiltyard.sources import files
-from tiltyard.sources.battles import PREDICTIONS_SQL, SIDES_SQL, battles_sql, derived_battles, matchup_key, predictions, sides
+from tiltyard.sources.battles import GROWING, PREDICTIONS_SQL, SIDES_SQL, battles_sql, card_universe, derived_battles, matchup_key, predictions, sides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,6 +58,28 @@ def keyset_page(spark, sf_dir):
     return files.keyset_page(spark.read.parquet(f"{sf_dir}/orders.parquet"), ("o_orderdate", "o_orderkey"), start, 500).select("o_orderkey", "o_orderdate", "o_custkey")
 
 
+@register("pulled_pages", "select o_orderkey, o_orderdate, o_custkey from orders")
+def pulled_pages(spark, sf_dir):
+    """The whole table in pulls that begin where the last one ended: a page, then the rest, then nothing more."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate", "o_custkey")
+    at = files.work_dir(spark)
+    for rows in (500, None, None):
+        files.pull(orders, ("o_orderdate", "o_orderkey"), f"{at}/pages", f"{at}/cursor", rows)
+    return files.pulled(spark, f"{at}/pages", orders.schema)
+
+
+@register("vector_lengths", "select vec_id, cast(len(embedding) as int) numbers from embeddings")
+def vector_lengths(spark, sf_dir):
+    return files.vectors(spark, f"{sf_dir}/embeddings.parquet", "embedding", 64).select("vec_id", F.size("embedding").alias("numbers"))
+
+
+@register("monthly_changes", f"{WITH_SIDES}, m as (select segment, patch, avg(won::int) rate, count(*) n from sides where side = 'team' group by all) select segment, patch, n, round(rate, 6) rate, round(rate - lag(rate) over (partition by segment order by patch), 6) change from m")
+def monthly_changes(spark, sf_dir):
+    """A segment's team win rate a month, and what it gained since the month before."""
+    m = derived_battles(spark, sf_dir).groupBy("segment", "patch").agg(F.avg(F.col("win").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
+    return rounded(deck_stats.changes(m, "rate", "patch", ["segment"]), "rate", "change")
+
+
 @register("lookup_scan", "select o_orderkey, o_orderpriority from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 50)")
 def lookup_scan(spark, sf_dir):
     wanted = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 50").select("l_orderkey")
@@ -137,7 +159,7 @@ def chrono_cutoffs(spark, sf_dir):
 SPLIT_SQL = f"{CUTS}, split as (select b.*, case when epoch(battle_time) <= c[1] then 'train' when epoch(battle_time) <= c[2] then 'validation' else 'test' end split from battles b, cuts)"
 
 
-def split_battles(spark: SparkSession, sf_dir: str, universe: int = 6) -> DataFrame:
+def split_battles(spark: SparkSession, sf_dir: str, universe: int | None = 6) -> DataFrame:
     b = derived_battles(spark, sf_dir, universe)
     return prepare.split(b, prepare.cutoffs(b))
 
@@ -152,9 +174,9 @@ def history_window(spark, sf_dir):
     return prepare.history(derived_battles(spark, sf_dir), "battle_time", 365).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("vocabulary_cards", f"with {battles_sql(10)}, {SPLIT_SQL}, cards as (select unnest(list_concat(team_card_ids, opponent_card_ids)) card from split where split = 'train' union select unnest([0, 3, 42])) select card, row_number() over (order by card) \"index\" from (select distinct card from cards)")
+@register("vocabulary_cards", f"with {battles_sql(None)}, {SPLIT_SQL}, cards as (select unnest(list_concat(team_card_ids, opponent_card_ids)) card from split where split = 'train' union select unnest([0, 3, 42])) select card, row_number() over (order by card) \"index\" from (select distinct card from cards)")
 def vocabulary_cards(spark, sf_dir):
-    train = split_battles(spark, sf_dir, 10).where("split = 'train'")
+    train = split_battles(spark, sf_dir, None).where("split = 'train'")
     return prepare.vocabulary(prepare.cards_of(train), "card", [0, 3, 42]).withColumn("index", F.col("index").cast("bigint"))
 
 
@@ -178,9 +200,9 @@ def card_frequencies(spark, sf_dir):
     return prepare.card_frequencies(derived_battles(spark, sf_dir))
 
 
-@register("cards_absent_from_train", f"with {battles_sql(2000)}, {SPLIT_SQL.replace('[0.7, 0.85]', '[0.02, 0.85]')}, c as (select split, unnest(list_concat(team_card_ids, opponent_card_ids)) card from split) select distinct card from c where card not in (select card from c where split = 'train')")
+@register("cards_absent_from_train", f"with {battles_sql(None)}, {SPLIT_SQL.replace('[0.7, 0.85]', '[0.02, 0.85]')}, c as (select split, unnest(list_concat(team_card_ids, opponent_card_ids)) card from split) select distinct card from c where card not in (select card from c where split = 'train')")
 def cards_absent_from_train(spark, sf_dir):
-    b = derived_battles(spark, sf_dir, 2000)
+    b = derived_battles(spark, sf_dir, None)
     b = prepare.split(b, prepare.cutoffs(b, shares=(0.02, 0.85)))
     return prepare.unseen_cards(b, b.where("split = 'train'"))
 
@@ -298,13 +320,13 @@ def probability_labels(spark, sf_dir):
 # Unseen matchups -------------------------------------------------------------------------------------
 
 
-def marked(spark: SparkSession, sf_dir: str, universe: int = 10) -> DataFrame:
-    b = split_battles(spark, sf_dir, universe)
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = split_battles(spark, sf_dir, card_universe(spark, sf_dir))
     return unseen.mark_unseen(b.where("split = 'train'"), b.where("split = 'test'"))
 
 
 KEY_SQL = "case when team_deck_key <= opponent_deck_key then team_deck_key || '::' || opponent_deck_key else opponent_deck_key || '::' || team_deck_key end"
-MARKED_SQL = f"""with {battles_sql(10)}, {SPLIT_SQL}, keyed as (select *, {KEY_SQL} matchup_key from split),
+MARKED_SQL = f"""with {battles_sql(GROWING)}, {SPLIT_SQL}, keyed as (select *, {KEY_SQL} matchup_key from split),
     tm as (select distinct matchup_key k, 1 hit from keyed where split = 'train'),
     td as (select team_deck_key deck from keyed where split = 'train' union select opponent_deck_key from keyed where split = 'train'),
     marked as (select e.*, tm.hit is null is_unseen, a.deck is not null team_seen, b.deck is not null opponent_seen from keyed e
@@ -312,9 +334,9 @@ MARKED_SQL = f"""with {battles_sql(10)}, {SPLIT_SQL}, keyed as (select *, {KEY_S
 LEVEL_SQL = " union all ".join(f"select '{n}' as level, '{d}' as difficulty, count(*) filter ({c}) as rows, count(distinct case when {c} then matchup_key end) matchups, round(count(*) filter ({c}) / nullif(count(*), 0)::double, 6) row_share from marked" for n, (d, c) in unseen.LEVELS.items())
 
 
-@register("matchup_keys", f"with {battles_sql(10)} select {KEY_SQL} matchup_key, count(*) n from battles group by 1")
+@register("matchup_keys", f"with {battles_sql(None)} select {KEY_SQL} matchup_key, count(*) n from battles group by 1")
 def matchup_keys(spark, sf_dir):
-    return derived_battles(spark, sf_dir, 10).groupBy(matchup_key(F.col("team_deck_key"), F.col("opponent_deck_key")).alias("matchup_key")).agg(F.count(F.lit(1)).alias("n"))
+    return derived_battles(spark, sf_dir, None).groupBy(matchup_key(F.col("team_deck_key"), F.col("opponent_deck_key")).alias("matchup_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("unseen_levels", f"{MARKED_SQL} {LEVEL_SQL}")

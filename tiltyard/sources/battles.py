@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltyard.functions.decks import deck_key
 
 
-def derived_battles(spark: SparkSession, sf_dir: str, universe: int = 6) -> DataFrame:
-    """Battles made from orders: an order's deck is its parts modulo ``universe``, an odd order meets the one
-    after it, and the larger quantity wins; draws are dropped."""
+def card_universe(spark: SparkSession, sf_dir: str) -> int:
+    """As many cards as the root of the parts' number, ten at least: decks of few cards meet again, yet there are
+    more of them the more parts there are. The count is the file's own."""
+    return max(10, math.isqrt(spark.read.parquet(f"{sf_dir}/part.parquet").count()))
+
+
+GROWING = "(select greatest(10, floor(sqrt(count(*)))::bigint) from part)"  # the same in SQL
+
+
+def derived_battles(spark: SparkSession, sf_dir: str, universe: int | None = 6) -> DataFrame:
+    """Battles made from orders: an order's deck is its parts modulo ``universe`` (None: its parts as they are), an
+    odd order meets the one after it, and the larger quantity wins; draws are dropped."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    card = F.col("l_partkey") if universe is None else (F.col("l_partkey") % universe).cast("int")
     decks = lines.groupBy(F.col("l_orderkey").alias("k")).agg(
-        F.array_sort(F.collect_set((F.col("l_partkey") % universe).cast("int"))).alias("cards"),
+        F.array_sort(F.collect_set(card)).alias("cards"),
         F.round(F.sum("l_quantity")).cast("bigint").alias("q"),
     )
     side = orders.join(decks, orders["o_orderkey"] == decks["k"]).select("k", F.col("o_orderdate").alias("t"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), "cards", "q")
@@ -32,10 +44,11 @@ def derived_battles(spark: SparkSession, sf_dir: str, universe: int = 6) -> Data
     )
 
 
-def battles_sql(universe: int = 6) -> str:
+def battles_sql(universe: int | str | None = 6) -> str:
     """The same relation as common table expressions of DuckDB's SQL, ending in ``battles``."""
+    card = "l_partkey" if universe is None else f"cast(l_partkey % {universe} as int)"
     return f"""
-    d as (select l_orderkey k, list_sort(list(distinct cast(l_partkey % {universe} as int))) cards,
+    d as (select l_orderkey k, list_sort(list(distinct {card})) cards,
                  cast(round(sum(l_quantity)) as bigint) q from lineitem group by l_orderkey),
     o as (select o_orderkey k, o_orderdate t, o_orderpriority p, o_orderstatus s, d.cards,
                  array_to_string(d.cards, ',') dk, d.q from orders join d on o_orderkey = d.k),

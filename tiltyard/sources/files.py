@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Sequence
@@ -54,6 +55,49 @@ def keyset_page(df: DataFrame, keys: Sequence[str], start: Sequence[Column], row
     return df.where(after(keys, start)).orderBy(*keys).limit(rows)
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or in the warehouse where none is named."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def pull(df: DataFrame, keys: Sequence[str], path: str, cursor: str, rows: int | None = None) -> int:
+    """The rows of an ordered table after the cursor, a page of ``rows`` of them or all, as a folder of ``path``; then
+    the cursor moves to the last of them. Gives the number of rows.
+
+    A page's folder is named after the cursor that it began at and is written over, so a pull that was lost before its
+    cursor moved is done again without rows twice. Rows with a null key have no place in the order and never come.
+    """
+    spark = df.sparkSession
+    conf, at = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(cursor)
+    page, name = df.dropna(how="any", subset=list(keys)), "first"
+    if at.getFileSystem(conf).exists(at):
+        last = spark.read.parquet(cursor).select(*[F.col(k).cast("string") for k in keys]).first()
+        page = page.where(after(keys, [F.lit(v).cast(df.schema[k].dataType) for k, v in zip(keys, last)]))
+        name = hashlib.md5(json.dumps(list(last)).encode()).hexdigest()
+    folder = f"{path.rstrip('/')}/page-{name}"
+    (page if rows is None else page.orderBy(*keys).limit(rows)).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    done = spark.read.schema(df.schema).parquet(folder)
+    end = done.agg(F.max(F.struct(*keys)).alias("k"), F.count(F.lit(1)).alias("n")).first()
+    if end["n"]:
+        replace(done.agg(F.max(F.struct(*keys)).alias("k")).select("k.*"), cursor)
+    return end["n"]
+
+
+def pulled(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All pages so far."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def vectors(spark: SparkSession, path: str, column: str, size: int) -> DataFrame:
+    """A table of vectors; one that has another length, or none, is an error."""
+    df = spark.read.parquet(path)
+    wrong = df.where(~F.coalesce(F.size(column) == size, F.lit(False))).count()
+    if wrong:
+        raise ValueError(f"{wrong} vectors of {path} don't have {size} numbers")
+    return df
+
+
 def first_path(column: str, paths: Sequence[str]) -> Column:
     """The first of several JSON paths that holds anything, as an integer, or null."""
     return F.coalesce(*[F.get_json_object(column, p) for p in paths]).try_cast("int")
